@@ -37,4 +37,57 @@ SELECT doc_id, size, source_size, target,
 FROM e
 """
 
-ORACLE = {"op5_exact_dedup": OP5, "op7_mixing": OP7}
+OP6 = r"""
+WITH p AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM p)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN list_has_any(regexp_split_to_array(host, '[.-]'), ['ads', 'adult', 'bets', 'casino', 'pills', 'porn', 'spam', 'track', 'warez']) THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM r
+"""
+
+OP9 = r"""
+WITH l AS (
+  SELECT doc_id, text, t.line AS line, t.pos AS pos
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM (SELECT DISTINCT doc_id, text FROM documents)) d,
+    unnest(list_zip(x, range(len(x)))) AS u(t0), (SELECT t0[1] AS line, t0[2] AS pos) t),
+k AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS k
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (
+  SELECT *, lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2
+  FROM k WINDOW d AS (PARTITION BY doc_id, text ORDER BY pos)),
+s AS (
+  SELECT *, row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id NULLS LAST, k) > 1 AND l2 IS NOT NULL AS later FROM w),
+c AS (
+  SELECT doc_id, text, pos, k, coalesce(max(later) OVER (PARTITION BY doc_id, text ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM s),
+b AS (
+  SELECT l.doc_id, l.text, l.line, l.pos, c.k, coalesce(c.gone, false) AS gone FROM l LEFT JOIN c
+    ON l.doc_id IS NOT DISTINCT FROM c.doc_id AND l.text = c.text AND l.pos = c.pos),
+f AS (
+  SELECT *, last_value(CASE WHEN k IS NOT NULL THEN gone END IGNORE NULLS) OVER (PARTITION BY doc_id, text ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before,
+    first_value(CASE WHEN k IS NOT NULL THEN gone END IGNORE NULLS) OVER (PARTITION BY doc_id, text ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+  FROM b),
+g AS (
+  SELECT doc_id, text, count(k)::BIGINT AS n_lines, (count(*) FILTER (k IS NOT NULL AND gone))::BIGINT AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT CASE WHEN k IS NOT NULL THEN gone ELSE coalesce(before AND after, false) END), '') AS kept
+  FROM f GROUP BY doc_id, text)
+SELECT d.doc_id, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.text = g.text
+"""
+
+ORACLE = {"op5_exact_dedup": OP5, "op6_url_filter": OP6, "op7_mixing": OP7, "op9_line_dedup": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plainweave.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from plainweave.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, simhash, url_filter
 from plainweave.llm.common import documents
 from plainweave.llm.oracle import ORACLE
 
@@ -36,10 +36,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(documents(spark, sf_dir))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicate(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
@@ -54,7 +63,9 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
     "pipeline": pipeline,
 }
