@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plainweave.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, simhash, url_filter
+from plainweave.llm import exact_dedup, line_dedup, mixing, packing, pii, quality_rules, simhash, url_filter
 from plainweave.llm.common import documents
 from plainweave.llm.oracle import ORACLE
 
@@ -44,6 +44,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a key for tests; a user brings one of their own."""
+    return pii.pseudonymise(documents(spark, sf_dir), b"key for tests")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduplicate(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
     "pipeline": pipeline,
