@@ -90,4 +90,17 @@ SELECT d.doc_id, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_removed, 0) AS
 FROM documents d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.text = g.text
 """
 
-ORACLE = {"op5_exact_dedup": OP5, "op6_url_filter": OP6, "op7_mixing": OP7, "op9_line_dedup": OP9}
+OP3 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, r, unnest(range(len(w) - 49)) AS pos, w FROM d WHERE len(w) >= 50),
+h AS (SELECT doc_id, r, pos, md5(array_to_string(w[pos + 1:pos + 50], ' ')) AS h FROM p),
+f AS (SELECT *, min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY h) AS first FROM h),
+c AS (SELECT DISTINCT r, unnest(range(pos, pos + 50)) AS pos FROM f WHERE coalesce(doc_id, 9223372036854775807) > first),
+x AS (SELECT d.doc_id, d.r, d.w, t.i FROM d, unnest(range(len(d.w))) AS t(i)),
+k AS (SELECT x.r, string_agg(x.w[x.i + 1], ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x LEFT JOIN c ON x.r = c.r AND x.i = c.pos WHERE c.pos IS NULL GROUP BY x.r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r
+"""
+
+ORACLE = {"op3_substring_dedup": OP3, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op7_mixing": OP7, "op9_line_dedup": OP9}

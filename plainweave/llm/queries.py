@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plainweave.llm import exact_dedup, line_dedup, lm_scoring, mixing, packing, pii, quality_rules, simhash, url_filter
+from plainweave.llm import exact_dedup, line_dedup, lm_scoring, mixing, packing, pii, quality_rules, simhash, substring_dedup, url_filter
 from plainweave.llm.common import documents
 from plainweave.llm.oracle import ORACLE
 
@@ -32,6 +32,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer())
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicate(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(documents(spark, sf_dir))
 
@@ -71,6 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
