@@ -3,19 +3,19 @@
 Recompression names the symbols of a text level by level. A round first names runs of one symbol, then pairs: a
 hash puts each symbol on the left or right side, and a left symbol followed by a right one becomes one new
 symbol. Names are hashes of what they replace, so all tasks agree on them without a dictionary, and
-equal substrings get the same symbols but for those near their ends. Symbols stop growing at
-``CAP`` words, so a window holds several. With each symbol goes its context, the words that decided
-its making: a symbol whose context lies within a window stands in every occurrence of that window.
+equal substrings get the same symbols but for those near their ends. Few rounds keep each symbol's context short, the words that decided
+its making; the last level names the shortest row of symbols that has ``PHRASE`` words or more, for every other
+first symbol (by its name). A symbol whose context lies within a window stands in every occurrence of that window.
 
 1. Of documents with the same words only the one with the smallest doc_id goes on; the others lose all their windows.
 2. A Spark round groups the high-level symbols of all documents by name and keeps those found in two documents or more, as
-   a Bloom filter of fixed size.
+   a Bloom filter of about ten bits each, at most 2^``most_log2_bits`` bits (32 MB).
 3. A window that holds the context of a symbol of no other document occurs nowhere else. Only the other windows are
-   named themselves (96 bits of two polynomial hashes of their words) and grouped: this verifies the repeats.
+   named themselves (96 bits of two polynomial hashes of their words): this verifies the repeats. A task settles the windows that
+   it holds twice, so of each name only those with a task's smallest doc_id are shuffled, once, and sorted by name and doc_id.
 4. Words covered by windows that also start in a document with a smaller doc_id are removed.
 
-A fuller Bloom filter only lets more windows through to step 3. Nothing is paired: each name's smallest doc_id is
-aggregated before it is joined back.
+A fuller Bloom filter only lets more windows through to step 3. Nothing is paired or collected: a sorted name's first row has its smallest doc_id.
 
 Nulls: a null text has no words, a null doc_id counts as larger than any other. Rows that agree in doc_id and text
 share their result; equal doc_ids never remove each other's words. An empty table gives an empty result.
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from plainweave.llm.common import ROW_KEY, Bloom, drop_rows, row_key, stored, words
 from plainweave.llm.ragged import chunks, mix, padded, split_words, xxh64
 
-CAP, ROUNDS = 10, 7
+CAP, ROUNDS, PHRASE = 10, 4, 16
 NO_ID = (1 << 63) - 1
+HELD_WINDOWS = 1_500_000
+_COLUMNS = ["a", "b", "id", ROW_KEY, "at", "starts"]
 _RUN, _SIDE, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 _BASES = (0x9E3779B97F4A7C1B, 0xC2B2AE3D27D4EB53)
 
@@ -110,8 +112,30 @@ class Symbols:
         for level in range(ROUNDS if len(self.name) else 0):
             self.runs()
             self.pairs(level)
+        self.phrases()
         return self
 
+    def phrases(self) -> None:
+        """The last level: rows of symbols of PHRASE words or more that begin at a symbol of one half of the names."""
+        n = len(self.name)
+        end = np.cumsum(self.length)
+        start = end - self.length
+        first = np.flatnonzero((mix(self.name ^ _SIDE, _RUN) >> np.uint64(33) & np.uint64(1)).astype(bool))
+        last = np.searchsorted(end, start[first] + PHRASE)
+        inside = last < n
+        first, last = first[inside], last[inside]
+        inside = self.text[last] == self.text[first]
+        first, last = first[inside], last[inside]
+        name, left, right = self.name[first], self.left[first], self.right[first]
+        more, k = np.arange(len(first)), 1
+        while len(more := more[first[more] + k <= last[more]]):
+            at = first[more] + k
+            name[more] = mix(name[more], self.name[at])
+            left[more], right[more] = np.minimum(left[more], self.left[at]), np.maximum(right[more], self.right[at])
+            k += 1
+        self.name, self.left, self.right, self.text = name, left, right, self.text[first]
+        self.length = end[last] - start[first]
+
 
 def word_names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, lens, by_text = split_words(data, offsets)
@@ -179,10 +203,44 @@ def _shared_names(docs: DataFrame, window: int) -> DataFrame:
     return found.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("name")
 
 
-def repeats(docs: DataFrame, window: int = 50, log2_bits: int = 26) -> DataFrame:
+def _by_document(ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """One row per document with the sorted list of its starts; the other columns keep it apart from windows."""
+    order = np.lexsort((at, keys, ids))
+    ids, keys, at = ids[order], keys[order], at[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+    cuts = np.append(np.flatnonzero(new), len(ids)).astype(np.int32)
+    ids, keys = ids[new], keys[new]
+    zero = np.zeros(len(ids), np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(zero), pa.array(ids), pa.array(keys), pa.array(zero), pa.ListArray.from_arrays(pa.array(cuts), pa.array(at))], names=_COLUMNS)
+
+
+def _settled(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """What a task knows of its windows: those with a smaller doc_id in the task itself are later ones already, as
+    lists by document; of each name only the windows with the smallest doc_id go on."""
+    if not held:
+        return
+    a, b, ids, keys, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((ids, a))
+    a, b, ids, keys, at = a[order], b[order], ids[order], keys[order], at[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (b == b[head]) & (ids > ids[head])
+    go = np.flatnonzero(~later)
+    for lo in range(0, len(go), 100_000):
+        i = go[lo : lo + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(a[i].view(np.int64)), pa.array(b[i].view(np.int32)), pa.array(ids[i]), pa.array(keys[i]), pa.array(at[i]), pa.nulls(len(i), pa.list_(pa.int32()))], names=_COLUMNS)
+    if later.any():
+        yield _by_document(ids[later], keys[later], at[later])
+
+
+def repeats(docs: DataFrame, window: int = 50, most_log2_bits: int = 28) -> DataFrame:
     """(doc_id, __pw_key, starts): per document the sorted starts of its windows that also start in a document with a smaller doc_id."""
     probes = 3
-    filled = Bloom(_shared_names(docs, window), "name", log2_bits, probes).table.first()["bits"]
+    shared_names = stored(_shared_names(docs, window), "names")
+    log2_bits = min(most_log2_bits, max(16, (10 * shared_names.count()).bit_length()))
+    filled = Bloom(shared_names, "name", log2_bits, probes).table.first()["bits"]
     bits = docs.sparkSession.sparkContext.broadcast(np.array(filled, np.int64).view(np.uint64))
 
     def shared(names: np.ndarray) -> np.ndarray:
@@ -195,6 +253,7 @@ def repeats(docs: DataFrame, window: int = 50, log2_bits: int = 26) -> DataFrame
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch, data, offsets in chunks(batches):
             names, by_text = word_names(data, offsets)
             if len(names) < window:
@@ -205,14 +264,37 @@ def repeats(docs: DataFrame, window: int = 50, log2_bits: int = 26) -> DataFrame
                 continue
             a, b = window_names(names, window)
             text = np.searchsorted(by_text, at, "right") - 1
-            take = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array((at - by_text[text]).astype(np.int32))], names=["a", "b", "id", ROW_KEY, "at"])
-
-    found = docs.select(_ordered().alias("id"), row_key().alias(ROW_KEY), "text").mapInArrow(run, f"a long, b int, id long, {ROW_KEY} long, at int")
-    found = stored(found, "windows")
-    first = found.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-    later = found.join(first, ["a", "b"]).filter("id > first")
-    starts = later.groupBy("id", ROW_KEY).agg(F.sort_array(F.collect_set("at")).alias("starts"))
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held.append((a[at], b[at], ids[text], keys[text], (at - by_text[text]).astype(np.int32)))
+            if sum(len(x[0]) for x in held) > HELD_WINDOWS:
+                yield from _settled(held)
+                held = []
+        yield from _settled(held)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by name and doc_id, so the first of a name has its smallest doc_id, also across batches."""
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, ids, keys, at = (batch.column(k).to_numpy() for k in range(5))
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            new[0] = last is None or last[:2] != (a[0], b[0])
+            group = np.cumsum(new) - 1
+            first = ids[new] if new[0] else np.concatenate([[last[2]], ids[new]])
+            first = first[group if new[0] else group + 1]
+            last = (a[-1], b[-1], first[-1])
+            sent = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            later = np.flatnonzero((ids > first) & ~sent)
+            yield _by_document(ids[later], keys[later], at[later]).select(["id", ROW_KEY, "starts"])
+            if sent.any():
+                yield batch.filter(pa.array(sent)).select(["id", ROW_KEY, "starts"])
+
+    schema = f"a long, b int, id long, {ROW_KEY} long, at int, starts array<int>"
+    found = docs.select(_ordered().alias("id"), row_key().alias(ROW_KEY), "text").mapInArrow(run, schema)
+    later = found.repartition("a", "b").sortWithinPartitions("a", "b", "id").mapInArrow(judged, f"id long, {ROW_KEY} long, starts array<int>")
+    starts = later.groupBy("id", ROW_KEY).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
     return starts.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), ROW_KEY, "starts")
 
 
@@ -229,22 +311,27 @@ def _spans(starts: Column, window: int) -> Column:
     return F.get(F.transform(F.array(starts), cut), F.lit(0))
 
 
-def deduplicate(docs: DataFrame, window: int = 50, log2_bits: int = 26) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 50, most_log2_bits: int = 28) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept: the words that are left, joined by one space."""
     same = _same_words(docs, window)
     rest = drop_rows(docs.select("doc_id", "text"), same)
-    spans = repeats(rest, window, log2_bits).select("doc_id", ROW_KEY, _spans(F.col("starts"), window).alias("spans"))
+    spans = repeats(rest, window, most_log2_bits).select("doc_id", ROW_KEY, _spans(F.col("starts"), window).alias("spans"))
     all_of = F.array(F.struct(F.lit(0).alias("first"), F.col("n").cast("int").alias("after")))
     removed = stored(spans.unionByName(same.select("doc_id", ROW_KEY, all_of.alias("spans")).dropDuplicates(["doc_id", ROW_KEY])), "removed")
     removed = removed.withColumnsRenamed({"doc_id": "d_id", ROW_KEY: "d_key"})
     bloom = Bloom(removed.select("d_key"), "d_key")
     keyed = docs.select("doc_id", "text", row_key().alias(ROW_KEY))
     asked = bloom.may_contain(F.col(ROW_KEY))
-    whole = keyed.filter(~asked).select("doc_id", words(F.col("text")).alias("w"), F.lit(0).cast("long").alias("n_removed"), words(F.col("text")).alias("left"))
+    whole = keyed.filter(~asked).select("doc_id", words(F.col("text")).alias("w"), F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("array<string>").alias("left"))
     held = keyed.filter(asked).join(removed, (F.col(ROW_KEY) == F.col("d_key")) & F.col("doc_id").eqNullSafe(F.col("d_id")), "left")
     held = held.select("doc_id", words(F.col("text")).alias("w"), F.coalesce("spans", F.array().cast("array<struct<first:int,after:int>>")).alias("spans"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["after"] - s["first"])
-    left = F.filter("w", lambda x, i: ~F.exists("spans", lambda s: (i >= s["first"]) & (i < s["after"])))
-    left = F.when(gone == F.size("w"), F.array().cast("array<string>")).when(gone == 0, F.col("w")).otherwise(left)
-    both = whole.unionByName(held.select("doc_id", "w", gone.alias("n_removed"), left.alias("left")))
-    return both.select("doc_id", F.size("w").cast("long").alias("n_words"), "n_removed", F.array_join("left", " ").alias("kept"))
+
+    def between(k: Column) -> Column:
+        """The words between the k-th span and the one before."""
+        begin = F.coalesce(F.get("spans", k - 1)["after"], F.lit(0))
+        return F.slice("w", begin + 1, F.coalesce(F.get("spans", k)["first"], F.size("w")) - begin)
+
+    left = F.flatten(F.transform(F.sequence(F.lit(0), F.size("spans")), between))
+    held = held.select("doc_id", "w", gone.alias("n_removed"), F.when(gone > 0, left).alias("left"))
+    return whole.unionByName(held).select("doc_id", F.size("w").cast("long").alias("n_words"), "n_removed", F.array_join(F.coalesce("left", "w"), " ").alias("kept"))
