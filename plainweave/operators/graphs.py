@@ -130,7 +130,7 @@ def distances(links: DataFrame, key: str = "filename", most_rounds: int = 10_000
     both = stored(links.select(key, "src", "dst").unionByName(links.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"))), "steps")
     frontier = stored(both.select(key, "src", F.col("src").alias("dst")).distinct().withColumn("d", F.lit(0)), "distances")
     seen = frontier
-    step = both.withColumnsRenamed({"src": "dst", "dst": "next"})
+    step = both.select(key, F.col("src").alias("dst"), F.col("dst").alias("next"))
     for d in range(1, most_rounds):
         further = frontier.join(step, [key, "dst"]).select(key, "src", F.col("next").alias("dst")).distinct()
         frontier = stored(further.join(seen, [key, "src", "dst"], "left_anti").withColumn("d", F.lit(d)), "distances")
