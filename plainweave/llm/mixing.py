@@ -27,7 +27,13 @@ MAX_SOURCES_SENT = 100_000
 
 def _sized(docs: DataFrame, seed: str) -> DataFrame:
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), order.alias("u"), F.xxhash64("text").alias("text_hash"))
+    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), order.alias("u"), F.xxhash64("text").alias("text_hash"), *_keys())
+
+
+def _keys() -> list[Column]:
+    """128 bits of doc_id, source and text, which tell the rows apart but for repetitions."""
+    parts = [F.col("doc_id").isNull(), F.col("source").isNull(), "doc_id", "source", "text"]
+    return [F.xxhash64(*parts).alias("__pw_a"), F.xxhash64(F.lit(1), *parts).alias("__pw_b")]
 
 
 def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -64,7 +70,7 @@ def _attached(rows: DataFrame, sources: DataFrame, on: list[str], n: int) -> Dat
 
 
 def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, bucket_rows: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken, text_hash (XXH64 of the text)."""
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, and its 128-bit key."""
     sized = stored(_sized(docs, seed), "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     filled = water_fill(weighted(sources.select("source", "source_size"), weights), max_epochs)
@@ -84,16 +90,17 @@ def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS
     end = F.col("start") + F.sum("size").over(within)
     more = (F.col("size") > 0) & (end.cast("double") - F.col("size") / 2 <= F.col("extra"))
     rows = rows.withColumn("copies", F.col("whole") + more.cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "text_hash")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "__pw_a", "__pw_b")
 
 
 def sample(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``mix`` takes it.
 
-    Only the ids of documents that are taken other than once are joined, so texts are shuffled but for those taken once.
+    Documents meet their copies by a 128-bit key; rows of one key share its copies out evenly.
     """
-    plan = mix(docs, seed, **options).groupBy("doc_id", "text_hash").agg(F.max("copies").alias("__pw_copies"))
-    plan = plan.withColumnsRenamed({"doc_id": "__pw_id", "text_hash": "__pw_hash"})
-    keyed = docs.withColumn("__pw_text", F.xxhash64("text"))
-    joined = keyed.join(plan, (F.col("__pw_text") == F.col("__pw_hash")) & F.col("doc_id").eqNullSafe(F.col("__pw_id")))
-    return joined.withColumn("__pw_n", F.explode(F.array_repeat(F.lit(1), F.col("__pw_copies").cast("int")))).select(*docs.columns)
+    key = ["__pw_a", "__pw_b"]
+    plan = mix(docs, seed, **options).groupBy(*key).agg(F.sum("copies").alias("__pw_sum"), F.count("*").alias("__pw_rows"))
+    joined = docs.select("*", *_keys()).join(plan, key)
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    copies = F.floor(F.col("__pw_sum") / F.col("__pw_rows")) + (number <= F.col("__pw_sum") % F.col("__pw_rows")).cast("long")
+    return joined.withColumn("__pw_n", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
