@@ -101,6 +101,6 @@ def sample(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
     key = ["__pw_a", "__pw_b"]
     plan = mix(docs, seed, **options).groupBy(*key).agg(F.sum("copies").alias("__pw_sum"), F.count("*").alias("__pw_rows"))
     joined = docs.select("*", *_keys()).join(plan, key)
-    number = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    copies = F.floor(F.col("__pw_sum") / F.col("__pw_rows")) + (number <= F.col("__pw_sum") % F.col("__pw_rows")).cast("long")
+    joined = joined.withColumn("__pw_k", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
+    copies = F.floor(F.col("__pw_sum") / F.col("__pw_rows")) + (F.col("__pw_k") <= F.col("__pw_sum") % F.col("__pw_rows")).cast("long")
     return joined.withColumn("__pw_n", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
