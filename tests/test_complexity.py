@@ -43,7 +43,7 @@ def test_lexical_vectors(spark):
     freq = {w: 1 + i % 7 for i, w in enumerate(dict.fromkeys(vocabulary))}
     adjectives = {"w5", "w10", "w15ly"}
     tagged = spark.createDataFrame([(d, i, w, p) for d, ts in docs.items() for i, (w, p) in enumerate(ts)], "filename string, idx int, word string, pos string").repartition(3)
-    words = spark.createDataFrame([(w, f, w in adjectives) for w, f in freq.items()] + [("w5", 0, True)], "lemma string, freq long, is_adj boolean")
+    words = spark.createDataFrame([(w, f, w in adjectives) for w, f in freq.items()] + [("w5", 0, True), ("w10", 0, True)], "lemma string, freq long, is_adj boolean")
     out = {r["filename"]: r.asDict() for r in lexical.lexical_vectors(tagged, words, rank_limit=12, z=10).collect()}
     assert out.keys() == docs.keys()
     for d, tokens in docs.items():
