@@ -34,7 +34,7 @@ def is_line(token: Column) -> Column:
 
 def is_word(pos: Column) -> Column:
     """PF22: tags that are neither part of the punctuation string, nor ``sent`` or ``sym``."""
-    return (F.locate(pos, F.lit(PUNCTUATION)) == 0) & ~pos.isin("sent", "sym") if isinstance(pos, str) else (F.instr(F.lit(PUNCTUATION), pos) == 0) & ~pos.isin("sent", "sym")
+    return (F.instr(F.lit(PUNCTUATION), pos) == 0) & ~pos.isin("sent", "sym")
 
 
 def word_ranks(word_list: DataFrame, limit: int = 2000) -> DataFrame:

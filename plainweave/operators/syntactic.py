@@ -126,10 +126,7 @@ def marked(nodes: DataFrame, key: str = "filename") -> DataFrame:
     )
     n = n.withColumns({"head_label": F.col("head.label"), "head_pre": F.col("head.pre")}).drop("head")
     finite = F.coalesce(F.col("head_label").isin(*FINITE), no)
-    n = _with_children(
-        n, key, has_finite_vp=some(child("VP") & finite), has_ing_or_to_vp=some(child("VP") & F.col("head_label").isin("VBG", "TO")),
-        first_vb=some((F.col("sib") == 0) & child("VP") & (F.col("head_label") == "VB")), head_says_that=some(child("IN") & F.col("says_that") & (F.col("pre") == F.col("up_head"))),
-    ) if "up_head" in n.columns else _second(n, key, some, child, finite)
+    n = _with_heads(n, key, some, child, finite)
     finite_vp = child("VP") & (finite | (F.col("has_cc") & F.col("has_finite_vp")))
     n = _with_children(n, key, has_vp_like=some(finite_vp))
     root = F.coalesce(F.col("parent_label") == "ROOT", no)
@@ -152,7 +149,7 @@ def marked(nodes: DataFrame, key: str = "filename") -> DataFrame:
     return n.select(key, "pre", "last", "parent", "label", *[F.coalesce(c, no).alias(f"is_{p}") for p, c in flags.items()])
 
 
-def _second(n: DataFrame, key: str, some, child, finite: Column) -> DataFrame:
+def _with_heads(n: DataFrame, key: str, some, child, finite: Column) -> DataFrame:
     """Aggregates over children that need the children's own heads, and what a node must know of its parent."""
     up = n.select(key, F.col("pre").alias("parent"), F.col("head_pre").alias("up_head"), F.col("has_vp").alias("parent_has_vp"))
     n = n.join(up, [key, "parent"], "left").withColumn("parent_has_vp", F.coalesce("parent_has_vp", F.lit(False)))
