@@ -1,36 +1,17 @@
-"""Shared tables in the cluster's checkpoint folder, native word expressions, and a native Bloom filter."""
+"""Native word expressions, row keys, and a native Bloom filter."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plainweave.tables import stored
+
 BLANKS = " \t\n\x0b\f\r"
 _GAPS = r"[\x20\x09-\x0D]+"
 ROW_KEY = "__pw_key"
 
 
-def workspace(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and (at := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        base = at.get()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="plainweave-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it: cuts the lineage and survives lost executors."""
-    path = f"{workspace(df.sparkSession)}/plainweave-{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null gives an empty one."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _GAPS), "")
