@@ -4,8 +4,11 @@ Found and validated: payment cards (13 to 19 digits, Luhn), North American phone
 security numbers, IBANs (mod 97), dates (ISO, or day and month with slashes or dots), and the local parts of e-mail addresses.
 A value is mapped to a number in the domain of its format, permuted there by a keyed Feistel
 network, again and again until the result is valid (cycle walking), and written in the same format: separators, lengths,
-check digits and calendar stay right. Equal values give equal pseudonyms in all documents, different values different ones, and
-the key undoes it (``Pseudonyms(key, back=True)``).
+check digits and calendar stay right. The card and IBAN patterns may take in numbers or words that follow a value: a match that
+isn't valid is tried up to each of its separators (IBAN: the country's length first, then as cards the longest first), then as the other kinds, and the
+search goes on just after its start. Equal values give equal pseudonyms in all documents, different values different ones, and
+the key undoes it (``Pseudonyms(key, back=True)``), but where a card's pseudonym and the digits after it, or an IBAN's of no listed country and the words after it,
+happen to be valid together: the pseudonym depends on the value only, not on what follows.
 
 Each text is handled on its own, whole and in one pass; nothing is shuffled. Nulls: a null text stays null with no values
 found, a null doc_id stays null. Repeated rows give equal rows. An empty table gives an empty result.
@@ -31,10 +34,17 @@ PATTERNS = {
     "ip": rf"(?<![0-9A-Za-z_.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![0-9A-Za-z_]|\.[0-9])",
     "ssn": rf"(?<![0-9A-Za-z_-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z_]|-[0-9])",
     "phone": rf"(?<![0-9A-Za-z_])(?:\+?1[ .-]?)?(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}{_END}",
-    "card": rf"(?<![0-9A-Za-z_-])[0-9](?:[ -]?[0-9]){{12,18}}(?![0-9A-Za-z_]|-[0-9])",
+    "card": rf"{_EDGE}[0-9](?:[ -]?[0-9]){{12,18}}{_END}",
     "iban": rf"{_EDGE}[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]){{11,30}}{_END}",
 }
 NUMBERS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+EACH = {k: re.compile(p) for k, p in PATTERNS.items()}
+SHORTEST = {"card": 13, "iban": 15}
+IBAN_LENGTH = {k: int(n) for n, of in {
+    "15": "NO", "16": "BE", "18": "DK FI FK FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH HR LI LV",
+    "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST",
+    "26": "IS TR", "27": "BI DJ FR GR IT MC SM", "28": "AL AZ BY CY DO GT HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU",
+}.items() for k in of.split()}
 EMAIL = re.compile(r"(?<![0-9A-Za-z._%+-])([0-9A-Za-z._%+-]+)(?=@[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)+)")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -161,16 +171,43 @@ class Pseudonyms:
         n = dict.fromkeys(KINDS, 0)
 
         def put(m: re.Match) -> str:
-            kind = m.lastgroup or "email"
-            new = self.of(kind, m[0])
-            if new is None:
-                return m[0]
-            n[kind] += 1
-            return new
+            n["email"] += 1
+            return self.of("email", m[0])
 
         if "@" in text:
             text = EMAIL.sub(put, text)
-        return NUMBERS.sub(put, text) if _DIGIT.search(text) else text, n
+        if not _DIGIT.search(text):
+            return text, n
+        out, done, at = [], 0, 0
+        while m := NUMBERS.search(text, at):
+            at = m.start() + 1
+            for kind, end in ends(m):
+                new = self.of(kind, text[m.start() : end])
+                if new is not None:
+                    out += text[done : m.start()], new
+                    done = at = end
+                    n[kind] += 1
+                    break
+        return "".join(out) + text[done:], n
+
+
+def ends(m: re.Match) -> Iterator[tuple[str, int]]:
+    """The kinds and ends of what may be a value at the start of a match of ``NUMBERS``, in the order to try them."""
+    kinds = list(EACH)
+    for kind in kinds[kinds.index(m.lastgroup) :]:
+        whole = m if kind == m.lastgroup else EACH[kind].match(m.string, m.start())
+        if whole and kind in SHORTEST:
+            held, cuts = 0, []
+            for k, c in enumerate(whole[0]):
+                if c in " -":
+                    cuts.append((held, whole.start() + k))
+                else:
+                    held += 1
+            cuts = [(size, end) for size, end in [*cuts, (held, whole.end())] if size >= SHORTEST[kind]]
+            fixed = IBAN_LENGTH.get(whole[0][:2])
+            yield from ((kind, end) for _, end in sorted(cuts, key=lambda cut: (cut[0] == fixed, cut[0]), reverse=True))
+        elif whole:
+            yield kind, whole.end()
 
 
 _DIGIT = re.compile("[0-9]{2}")

@@ -49,3 +49,22 @@ def test_table(spark):
     assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] in (3, 4, None)} == {3: None, 4: "", None: "x"}
     assert all(r[f"n_{k}"] == 0 for r in got if r["doc_id"] == 3 for k in KINDS)
     assert pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("value", "after"),
+    [
+        ("4111111111111111", " 12/27"), ("4111 1111 1111 1111", " 123"), ("4111-1111-1111-1111", "-12"), ("4111-1111-1111-1111", "-1234"), ("378282246310005", " 1234 5"),
+        ("DE89370400440532013000", " BIC COBADEFFXXX"), ("GB82 WEST 1234 5698 7654 32", " USD"), ("DE89 3704 0044 0532 0130 00", " 100 EUR"),
+    ],
+)
+def test_what_follows_a_value_does_not_hide_it(value, after):
+    alone, n = Pseudonyms(KEY).text(value)
+    assert sum(n.values()) == 1 and alone != value
+    assert Pseudonyms(KEY).text(f"x {value}{after}") == (f"x {alone}{after}", n)
+
+
+@pytest.mark.parametrize("before", ["12 ", "12-", "2020-13-01 ", "AB12 CD34 "])
+def test_search_goes_on_after_a_failed_start(before):
+    alone, n = Pseudonyms(KEY).text("4111111111111111")
+    assert Pseudonyms(KEY).text(f"{before}4111111111111111.") == (f"{before}{alone}.", n)
