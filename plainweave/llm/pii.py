@@ -210,7 +210,7 @@ def ends(m: re.Match) -> Iterator[tuple[str, int]]:
             yield kind, whole.end()
 
 
-_DIGIT = re.compile("[0-9]{2}")
+_DIGIT = re.compile("[0-9]")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:

@@ -68,3 +68,10 @@ def test_what_follows_a_value_does_not_hide_it(value, after):
 def test_search_goes_on_after_a_failed_start(before):
     alone, n = Pseudonyms(KEY).text("4111111111111111")
     assert Pseudonyms(KEY).text(f"{before}4111111111111111.") == (f"{before}{alone}.", n)
+
+
+@pytest.mark.parametrize("value", ["8.8.8.8", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"])
+def test_values_of_single_digits_alone_in_a_text(value):
+    alone, n = Pseudonyms(KEY).text(value)
+    assert sum(n.values()) == 1 and alone != value
+    assert Pseudonyms(KEY).text(f"{value}, room 42")[0] == f"{alone}, room 42"
