@@ -6,8 +6,9 @@ bigrams (from the end token of the text before, as it were) are counted over all
 The filter holds, of an n-gram of count c, the levels 1 to L = 1 + floor(log2 c) (bigrams: L = floor(log2 c); those seen once are not
 held, a count cutoff as usual in language models). A probe asks for level 1, 2, ... until one is missing, and takes
 the middle of the counts of the last one. All levels and probes of an n-gram lie in one of ``BLOCKS`` blocks of the filter, so
-tasks build blocks of it from the counts they hold, and the driver gets the blocks only: ``bits_per_entry`` bits a
-level, at most 2^``most_log2_bits`` bits (64 MB) in all. A larger corpus fills the filter more densely, nothing is left out; the workers get it by broadcast.
+tasks build blocks of it from the counts they hold, and the driver writes them to a file, a few at a time: ``bits_per_entry`` to twice as many bits a
+level, whatever the size of the corpus, so at the default of 10 a level is found by chance at a rate of (1 - exp(-3/10))^3 = 1.7% at most. Each executor
+gets the file once (``SparkContext.addFile``), and its workers map it rather than read it, so that it may be larger than their memory.
 
 p(w | v) = max(c(v w) - D, 0) / c(v) + (1 - s) p(w), with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); s is the part that
 discounted bigrams have in training tokens whose predecessor has a count of the same level as v, measured in a pass over all
@@ -22,12 +23,15 @@ documents of their own. An empty table gives an empty result; without training d
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +79,8 @@ class LogFrequencyFilter:
     def places(h: np.ndarray, level: int | np.ndarray, block_bits: int) -> list[np.ndarray]:
         """The bit of each probe within the n-gram's block."""
         g = mix(h, np.asarray(level, np.uint64))
+        if block_bits > 1 << 21:  # one hash hasn't the bits for all probes
+            return [(mix(g, np.uint64(j)) & np.uint64(block_bits - 1)).astype(np.int64) for j in range(PROBES)]
         return [((g >> np.uint64(21 * j)) & np.uint64(block_bits - 1)).astype(np.int64) for j in range(PROBES)]
 
     @staticmethod
@@ -173,11 +179,14 @@ def count(docs: DataFrame, partitions: int) -> DataFrame:
     return stored(summed.filter("kind = 0 OR c > 1"), "counts")
 
 
-def build(counts: DataFrame, bits_per_entry: int = 10, most_log2_bits: int = 29) -> np.ndarray:
-    """The filter's bytes: its blocks are made where their counts are, and put together on the driver."""
+def log2_bits(entries: int, bits_per_entry: int = 10) -> int:
+    return max(20, int(entries * bits_per_entry).bit_length())
+
+
+def build(counts: DataFrame, bits_per_entry: int = 10) -> str:
+    """The filter's file, by the name that ``SparkFiles`` knows it by: its blocks are made where their counts are, and written by the driver one by one."""
     entries = counts.agg(F.sum(F.floor(F.log2("c")) + 1 - F.col("kind"))).first()[0] or 0
-    log2_bits = min(most_log2_bits, max(20, int(entries * bits_per_entry).bit_length()))
-    block_bits = (1 << log2_bits) // BLOCKS
+    block_bits = (1 << log2_bits(entries, bits_per_entry)) // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -196,18 +205,26 @@ def build(counts: DataFrame, bits_per_entry: int = 10, most_log2_bits: int = 29)
         for k, bits in made.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
-    out = np.zeros(BLOCKS * block_bits // 8, np.uint8)
-    view = out.reshape(BLOCKS, -1)
-    for row in counts.select("block", "kind", "h", "c").mapInArrow(run, "block int, bits binary").toLocalIterator(prefetchPartitions=True):
-        view[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
-    return out
+    path = os.path.join(tempfile.mkdtemp(prefix="plainweave-"), f"plainweave-lm-{uuid.uuid4().hex}")
+    out = np.memmap(path, np.uint8, "w+", shape=(BLOCKS, block_bits // 8))
+    for row in counts.select("block", "kind", "h", "c").mapInArrow(run, "block int, bits binary").toLocalIterator():
+        out[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
+    out.flush()
+    del out
+    counts.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def mapped(name: str) -> np.ndarray:
+    """The bytes of a file that ``build`` has made."""
+    return np.memmap(SparkFiles.get(name), np.uint8, "r").view(np.ndarray)
 
 
-def calibrate(docs: DataFrame, model) -> np.ndarray:
+def calibrate(docs: DataFrame, model: Callable[[], Model]) -> np.ndarray:
     """By level of the predecessor, the part of all training tokens that discounted bigrams in the filter account for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen, all_ = model.value, np.zeros(LEVELS), np.zeros(LEVELS)
+        m, seen, all_ = model(), np.zeros(LEVELS), np.zeros(LEVELS)
         for _, data, offsets in chunks(_train_batches(batches)):
             h, _ = tokens(data, offsets)
             _, _, level, pair = m.counts(h)
@@ -221,7 +238,7 @@ def calibrate(docs: DataFrame, model) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, common: int = 1 << 16, bits_per_entry: int = 10, most_log2_bits: int = 29) -> DataFrame:
+def score(docs: DataFrame, common: int = 1 << 16, bits_per_entry: int = 10) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark: SparkSession = docs.sparkSession
     counts = count(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -229,13 +246,12 @@ def score(docs: DataFrame, common: int = 1 << 16, bits_per_entry: int = 10, most
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = words.orderBy(F.desc("c"), "h").limit(common).toPandas().sort_values("h", key=lambda h: h.to_numpy().view(np.uint64))
     context = spark.sparkContext
-    bits = build(counts, bits_per_entry, most_log2_bits)
-    shares = calibrate(docs, context.broadcast(Model(bits, total, distinct, np.zeros(LEVELS))))
-    model = context.broadcast(Model(bits, total, distinct, shares))
+    name = build(counts, bits_per_entry)
+    shares = calibrate(docs, lambda: Model(mapped(name), total, distinct, np.zeros(LEVELS)))
     known = context.broadcast((top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (keys, c), row = model.value, known.value, TaskContext.get().partitionId() << 40
+        m, (keys, c), row = Model(mapped(name), total, distinct, shares), known.value, TaskContext.get().partitionId() << 40
         for batch, data, offsets in chunks(batches):
             h, n = tokens(data, offsets)
             text = np.repeat(np.arange(len(n)), n)
