@@ -3,8 +3,7 @@
 The corpus's training documents are those whose crc32(doc_id as text) mod 10 is not 0. Their unigrams and
 bigrams (from the end token of the text before, as it were) are counted over all of them: summed in each task, then by hash.
 
-The filter holds, of an n-gram of count c, the levels 1 to L = 1 + floor(log2 c) (bigrams: L = floor(log2 c); those seen once are not
-held, a count cutoff as usual in language models). A probe asks for level 1, 2, ... until one is missing, and takes
+The filter holds, of an n-gram of count c, the levels 1 to L = 1 + floor(log2 c); those seen once are held as well. A probe asks for level 1, 2, ... until one is missing, and takes
 the middle of the counts of the last one. All levels and probes of an n-gram lie in one of ``BLOCKS`` blocks of the filter, so
 tasks build blocks of it from the counts they hold, and the driver writes them to a file, a few at a time: ``bits_per_entry`` to twice as many bits a
 level, whatever the size of the corpus, so at the default of 10 a level is found by chance at a rate of (1 - exp(-3/10))^3 = 1.7% at most. Each executor
@@ -104,9 +103,9 @@ class LogFrequencyFilter:
         return out
 
 
-def _middle(level: np.ndarray, first: int) -> np.ndarray:
-    """The middle of the counts of a level; ``first``: the exponent of level 1."""
-    low = np.exp2(level + (first - 1.0))
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level."""
+    low = np.exp2(level - 1.0)
     return np.where(level > 0, (3 * low - 1) / 2, 0.0)
 
 
@@ -125,8 +124,8 @@ class Model:
         end = int(self.filter.levels(np.array([END]))[0])
         before_level = np.concatenate([[end], level[:-1]]) if len(h) else level
         pairs, again = np.unique(bigram(before, h), return_inverse=True)
-        pair = _middle(self.filter.levels(pairs), 1)[again]
-        return _middle(level, 0), _middle(before_level, 0), before_level, pair
+        pair = _middle(self.filter.levels(pairs))[again]
+        return _middle(level), _middle(before_level), before_level, pair
 
     def log10(self, h: np.ndarray) -> np.ndarray:
         one, before, level, pair = self.counts(h)
@@ -147,7 +146,7 @@ def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def count(docs: DataFrame, partitions: int) -> DataFrame:
-    """(block, kind, h, c): exact counts of the training documents' unigrams (kind 0) and of bigrams seen twice or more (kind 1)."""
+    """(block, kind, h, c): exact counts of the training documents' unigrams (kind 0) and bigrams (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
@@ -176,7 +175,7 @@ def count(docs: DataFrame, partitions: int) -> DataFrame:
     parts = docs.select("doc_id", "text").mapInArrow(run, "block short, kind byte, h long, c int")
     # One shuffle, by block: the sums need no further one, and the stored files hold whole blocks.
     summed = parts.repartition(partitions, "block").groupBy("block", "kind", "h").agg(F.sum("c").alias("c"))
-    return stored(summed.filter("kind = 0 OR c > 1"), "counts")
+    return stored(summed, "counts")
 
 
 def log2_bits(entries: int, bits_per_entry: int = 10) -> int:
@@ -185,14 +184,14 @@ def log2_bits(entries: int, bits_per_entry: int = 10) -> int:
 
 def build(counts: DataFrame, bits_per_entry: int = 10) -> str:
     """The filter's file, by the name that ``SparkFiles`` knows it by: its blocks are made where their counts are, and written by the driver one by one."""
-    entries = counts.agg(F.sum(F.floor(F.log2("c")) + 1 - F.col("kind"))).first()[0] or 0
+    entries = counts.agg(F.sum(F.floor(F.log2("c")) + 1)).first()[0] or 0
     block_bits = (1 << log2_bits(entries, bits_per_entry)) // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
         for batch in batches:
             h = batch.column(2).to_numpy().view(np.uint64)
-            top = np.log2(batch.column(3).to_numpy()).astype(np.int64) + 1 - batch.column(1).to_numpy()
+            top = np.log2(batch.column(3).to_numpy()).astype(np.int64) + 1
             block = LogFrequencyFilter.block(h)
             order = np.argsort(block, kind="stable")
             for idx in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):

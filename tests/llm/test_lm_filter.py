@@ -1,5 +1,7 @@
 """The filter of n-gram counts: its size, and what it holds."""
 
+from collections import Counter
+
 import numpy as np
 
 from plainweave.llm import lm_scoring
@@ -29,3 +31,12 @@ def test_the_file_holds_all_levels_and_few_others(spark):
     got = made.levels(h)
     assert (got >= want).all() and (got > want).mean() < 0.02
     assert (made.levels(h + np.uint64(1)) > 0).mean() < 0.02
+
+
+def test_bigrams_seen_once_are_counted(spark):
+    texts = [(k, t) for k, t in enumerate(["a b", "a b c", "d", "b a", None]) if not lm_scoring.held_out(k)]
+    want = Counter()
+    for _, t in texts:
+        want.update(zip(["", *(t or "").split()], [*(t or "").split(), ""]))
+    counts = lm_scoring.count(spark.createDataFrame(texts, "doc_id long, text string"), 2).filter("kind = 1").collect()
+    assert sorted(r["c"] for r in counts) == sorted(want.values()) and min(want.values()) == 1
