@@ -2,7 +2,8 @@
 
 Only DataFrame functions touch the texts. Their statistics (a handful of numbers a document) are
 written once. The list is learned from the statistics of a bounded sample of labelled documents (``max_labelled``, those
-with the smallest hash of doc_id; the only bound there is) by sequential covering on the driver:
+with the smallest hash of doc_id) by sequential covering on the driver, into at most ``most_rules`` rules of ``most_conditions`` conditions
+on ``cuts`` thresholds a feature:
 
 * grow: from no condition, add the threshold condition with the greatest FOIL gain until no good document of the growing part is covered;
 * prune: cut trailing conditions while that does not lower the rule's worth (p - n) / (p + n) on the pruning part;
@@ -12,7 +13,10 @@ Documents that a rule covers are rejected; all others are kept.
 
 Nulls: a null text has no words, which fails the base rule. Labels without doc_id or quality, and documents
 labelled both ways, teach nothing. Without labels there are no rules and only the base rule rejects. A null ratio
-(no words) meets no condition. Repeated rows are judged one by one. An empty table gives an empty result.
+(no words) meets no condition. Repeated rows are judged one by one. An empty text is one without words. Texts are taken whole, however long: a text's words and windows are arrays in its row.
+Conditions of equal gain: the first in the order of FEATURES, then the lower threshold, ``>=`` before ``<=``. An empty table gives an empty result.
+Further columns of the documents are carried along by ``keep_good``, also if they are named like a statistic (only doc_id and text are read beside
+the rows' own key); names that start with ``__pw_`` are the operators' own.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainweave.llm.common import stored, words
+from plainweave.llm.cascade import drop_rows
+from plainweave.llm.common import ROW_KEY, row_key, stored, words
 
 WINDOW = 8
 RATIOS = {
@@ -180,12 +185,26 @@ def cover(rows: list[tuple[bool, list[float | None]]], min_precision: float = 0.
 
 
 def learn(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **options) -> list[Rule]:
-    """The decision list from ``stats`` (doc_id, STATISTICS) and ``labels`` (doc_id, quality 0 or 1)."""
+    """The decision list from ``stats`` (doc_id, STATISTICS) and ``labels`` (doc_id, quality 0 or 1).
+
+    With more than ``max_labelled`` labelled documents, those whose hash lies below a threshold: it is found by counting hashes in
+    ranges, so that nothing is sorted and only the sample comes to the driver.
+    """
     taught = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
-    order = F.xxhash64(F.concat(F.lit("rules:"), F.col("doc_id").cast("string")))
+    order = F.shiftrightunsigned(F.xxhash64(F.concat(F.lit("rules:"), F.col("doc_id").cast("string"))), 1)
     taught = taught.select("doc_id", (F.col("quality") == 0).alias("bad"), order.alias("turn"))
-    known = stats.filter(~base_failed()).join(taught, "doc_id").orderBy("turn", *STATISTICS).limit(max_labelled)
-    rows = known.select("bad", F.array(*[feature(x) for x in FEATURES]).alias("x")).collect()
+    known = stored(stats.filter(~base_failed()).join(taught, "doc_id").select("bad", "turn", F.array(*[feature(x) for x in FEATURES]).alias("x")), "labelled")
+    n = known.count()
+    if n > max_labelled:
+        span = 2**63 * max_labelled // n // 64  # a range holds about a 64th of the sample
+        at = F.floor(F.col("turn") / F.lit(span)).cast("long")
+        few = {r["at"]: r["count"] for r in known.select(at.alias("at")).filter("at < 128").groupBy("at").count().collect()}
+        ranges, held = 0, 0
+        while ranges < 128 and held + few.get(ranges, 0) <= max_labelled:
+            held += few.get(ranges, 0)
+            ranges += 1
+        known = known.filter(at < ranges)
+    rows = sorted(known.collect(), key=lambda r: (r["turn"], r["bad"], [(v is None, v or 0.0) for v in r["x"]]))
     return cover([(r["bad"], list(r["x"])) for r in rows], **options)
 
 
@@ -199,8 +218,6 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without those that the base rule or the decision list rejects; no text is shuffled."""
-    narrow = stored(statistics(docs.select("doc_id", "text")).select("doc_id", *STATISTICS, F.xxhash64("doc_id", "text").alias("__pw_key")), "statistics")
+    narrow = stored(statistics(docs.select("doc_id", "text")).select("doc_id", *STATISTICS, row_key().alias(ROW_KEY)), "statistics")
     rules = learn(narrow, labels, **options)
-    from plainweave.llm.common import ROW_KEY, drop_rows
-
-    return drop_rows(docs, narrow.filter(base_failed() | ~verdict(rules)).select("doc_id", F.col("__pw_key").alias(ROW_KEY)))
+    return drop_rows(docs, stored(narrow.select("doc_id", ROW_KEY, (base_failed() | ~verdict(rules)).alias("gone")), "judged"))

@@ -46,7 +46,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge(pages, url_filter.listed_hosts(pages))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ block of 64 pairs is abandoned as soon as all of them exceed the radius. A bucke
 
 Nulls: a null text has no words and fingerprint 0, like an empty one, and is linked like any other. A null doc_id
 counts as larger than any other; a component of null ids has component_id null. Repeated rows
-give repeated rows. An empty table gives an empty result.
+give repeated rows; ``drop_near_duplicates`` leaves one row of a component, also of rows with one doc_id or none. A bit set in just half the
+hashes is 0. Texts are taken whole: a long one is a batch of its own and its bits are counted piece by piece. An empty table gives an empty result.
+Columns other than doc_id and text are carried along, whatever their names, but for those that start with ``__pw_``.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainweave.llm.common import ROW_KEY, drop_rows, row_key, stored
+from plainweave.llm.cascade import drop_rows
+from plainweave.llm.common import ROW_KEY, joined_by_weight, row_key, stored
 from plainweave.llm.components import components
 from plainweave.llm.ragged import _SPACE, LOWER, chunks, padded, split_words, xxh64
 
@@ -197,19 +200,34 @@ def links(distinct: DataFrame, parts: int | None = None, tile: int = TILE) -> Da
     return placed.repartition(spread, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """One row per document: doc_id, __pw_key, fingerprint (16 hex digits), component_id."""
+def _classes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, __pw_key, fp) of all rows, and (fp, first) of each fingerprint: the first row (doc_id, then key) of its component."""
     prints = stored(fingerprints(docs, shingle), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    joined = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = joined.join(least, "root").select("fp", "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW_KEY)
+    distinct = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    roots = stored(components(links(distinct.select("fp"))).withColumnRenamed("node", "fp"), "roots")
+    linked_ = distinct.join(roots, "fp")
+    least = linked_.groupBy("root").agg(F.min("first").alias("first"))
+    alone = distinct.join(roots, "fp", "left_anti")
+    return prints, stored(alone.unionByName(linked_.drop("first").join(least, "root").select("fp", "first")), "classes")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row per document: doc_id, __pw_key, fingerprint (16 hex digits), component_id.
+
+    A fingerprint of many rows is looked up where its rows are (``joined_by_weight``).
+    """
+    prints, classes = _classes(docs, shingle)
+    weighted = stored(classes.join(prints.groupBy("fp").agg(F.count("*").alias("n")), "fp"), "weighted")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(classes, "fp").select("doc_id", ROW_KEY, hexed, "component_id")
+    return joined_by_weight(prints, weighted, ["fp"]).select("doc_id", ROW_KEY, hexed, F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each component; other columns are carried along."""
-    found = stored(near_duplicates(docs, shingle), "near")
-    return drop_rows(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", ROW_KEY))
+    """``docs`` with one row of each component, that of the smallest doc_id (then of the smallest hash of doc_id and text); other columns are carried along."""
+    prints, classes = _classes(docs, shingle)
+    weighted = stored(classes.join(prints.groupBy("fp").agg(F.count("*").alias("n")), "fp"), "weighted")
+    best = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col(ROW_KEY) == F.col(f"first.{ROW_KEY}"))
+    judged = stored(joined_by_weight(prints, weighted, ["fp"]).select("doc_id", ROW_KEY, (~best).alias("gone")), "judged")
+    again = judged.filter("NOT gone").groupBy("doc_id", ROW_KEY).count().filter("count > 1")
+    return drop_rows(docs, judged, stored(again.select("doc_id", ROW_KEY), "again"))

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainweave.llm.common import ROW_KEY, Bloom, drop_rows, row_key, stored, words
+from plainweave.llm.cascade import drop_rows
+from plainweave.llm.common import ROW_KEY, Bloom, joined_by_weight, row_key, stored, words
 from plainweave.llm.ragged import chunks, mix, padded, split_words, xxh64
 
 CAP, ROUNDS, PHRASE = 10, 4, 16
@@ -179,12 +180,18 @@ def _ordered(doc_id: str = "doc_id") -> Column:
 
 
 def _same_words(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, __pw_key, n): documents of a window or more whose words are all those of a document with a smaller doc_id."""
+    """(doc_id, __pw_key, n, gone): all documents; gone are those of a window or more whose words are all those of a document with a smaller doc_id."""
     w = words(F.col("text"))
     text = docs.select("doc_id", row_key().alias(ROW_KEY), F.size(w).cast("long").alias("n"), F.xxhash64(w).alias("a"), F.xxhash64(F.lit(1), w).alias("b"))
-    text = stored(text.filter(F.col("n") >= window), "sequences")
-    first = text.groupBy("a", "b", "n").agg(F.min(_ordered()).alias("first"), F.max(_ordered()).alias("last")).filter("first < last").drop("last")
-    return stored(text.join(first, ["a", "b", "n"]).filter(_ordered() > F.col("first")).select("doc_id", ROW_KEY, "n"), "same")
+    text = stored(text, "sequences")
+    first = text.filter(F.col("n") >= window).groupBy("a", "b", "n").agg(F.min(_ordered()).alias("first"), F.max(_ordered()).alias("last"), F.count("*").alias("weight"))
+    first = stored(first.filter("first < last").drop("last"), "firsts")
+    later = stored(joined_by_weight(text, first, ["a", "b", "n"], "weight").filter(_ordered() > F.col("first")).select("doc_id", ROW_KEY, "n").distinct(), "later")
+    found = later.select(F.col("doc_id").alias("__pw_id"), F.col(ROW_KEY).alias("__pw_key2"))
+    same = (F.col(ROW_KEY) == F.col("__pw_key2")) & F.col("doc_id").eqNullSafe(F.col("__pw_id"))
+    maybe = Bloom(later, ROW_KEY).may_contain(F.col(ROW_KEY))
+    asked = text.filter(maybe).join(found, same, "left").select("doc_id", ROW_KEY, "n", F.col("__pw_key2").isNotNull().alias("gone"))
+    return stored(text.filter(~maybe).select("doc_id", ROW_KEY, "n", F.lit(False).alias("gone")).unionByName(asked), "same")
 
 
 def _shared_names(docs: DataFrame, window: int) -> DataFrame:
@@ -313,8 +320,8 @@ def _spans(starts: Column, window: int) -> Column:
 
 def deduplicate(docs: DataFrame, window: int = 50, most_log2_bits: int = 28) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept: the words that are left, joined by one space."""
-    same = _same_words(docs, window)
-    rest = drop_rows(docs.select("doc_id", "text"), same)
+    judged = _same_words(docs, window)
+    rest, same = drop_rows(docs.select("doc_id", "text"), judged.select("doc_id", ROW_KEY, "gone")), judged.filter("gone")
     spans = repeats(rest, window, most_log2_bits).select("doc_id", ROW_KEY, _spans(F.col("starts"), window).alias("spans"))
     all_of = F.array(F.struct(F.lit(0).alias("first"), F.col("n").cast("int").alias("after")))
     removed = stored(spans.unionByName(same.select("doc_id", ROW_KEY, all_of.alias("spans")).dropDuplicates(["doc_id", ROW_KEY])), "removed")

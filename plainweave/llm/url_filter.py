@@ -5,23 +5,26 @@ each further level holds the keys of the other class that the level before lets
 known, the levels end when no mistake is left, and a key's class is told by the first level that
 refuses it: exact for every key of the universe, without a join. Each level hashes the key anew.
 
-What goes to the workers are the levels' bit arrays, ``bits_per_key`` bits for each key that a level holds; a level of more than
-``2 ** most_log2_bits`` bits stops the job rather than being sent.
+What goes to the workers are the levels' bit arrays, 12 to 24 bits for each key that a level holds; a level of more than
+2^27 bits (16 MB, about 11 million keys) stops the job rather than being sent.
+
+The list is a table of hosts (``judge``'s ``block``).
 
 Nulls: a null url, or one without ``://``, has an empty host and path; no rule fits it, and the empty host is a key like any other.
-Repeated rows are judged one by one. An empty table, or one without listed hosts, needs one empty level.
+Repeated rows are judged one by one. An empty table, or one without listed hosts, needs one empty level. Of rules of one length
+the first by name counts. Urls of any length are taken whole; only their hosts are shuffled. Further columns of the pages, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, log2
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainweave.llm.common import Bloom, stored
+from plainweave.llm.cascade import Cascade
+from plainweave.llm.common import stored
 
 #: A host is listed if a part of it (between dots and hyphens) is one of these.
 LISTED_PARTS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "warez")
@@ -61,43 +64,22 @@ def listed(host: Column, parts: tuple[str, ...] = LISTED_PARTS) -> Column:
     return F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(x) for x in parts]))
 
 
-class Cascade:
-    """``universe``: (key, listed), one row per key."""
-
-    def __init__(self, universe: DataFrame, bits_per_key: int = 12, most_log2_bits: int = 27, most_levels: int = 40):
-        self.levels: list[Bloom] = []
-        left = universe.withColumn("at", F.lit(0))
-        other, this = left.filter("NOT listed"), left.filter("listed")
-        while True:
-            k = len(self.levels)
-            n = this.count()
-            bits = max(12, ceil(log2(max(1, n) * bits_per_key)))
-            if bits > most_log2_bits or k >= most_levels:
-                raise ValueError(f"level {k} of the cascade needs 2^{bits} bits for {n} keys")
-            self.levels.append(Bloom(this.select(self._hash(F.col("key"), k).alias("h")), "h", bits, 4))
-            wrong = other.filter(self.levels[-1].may_contain(self._hash(F.col("key"), k)))
-            if wrong.isEmpty():
-                return
-            this, other = stored(wrong, "wrong"), this
-
-    @staticmethod
-    def _hash(key: Column, level: int) -> Column:
-        return F.xxhash64(F.lit(level), key)
-
-    def contains(self, key: Column) -> Column:
-        """Whether a key of the universe is listed: refused first by an odd level, or by none after an even last one."""
-        out = F.lit(len(self.levels) % 2 == 1)
-        for k in reversed(range(len(self.levels))):
-            out = F.when(self.levels[k].may_contain(self._hash(key, k)), out).otherwise(F.lit(k % 2 == 1))
-        return out
-
-
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, parts: tuple[str, ...] = LISTED_PARTS) -> DataFrame:
-    """One row per page: page_id, host, path, rule (or null), verdict (allow or block)."""
+def listed_hosts(pages: DataFrame, parts: tuple[str, ...] = LISTED_PARTS) -> DataFrame:
+    """(host): a list to go with tables that bring none: the hosts of the pages with a listed part."""
+    host, _ = host_and_path(F.col("url"))
+    return pages.select(host.alias("host")).filter(listed(F.col("host"), parts)).distinct()
+
+
+def judge(pages: DataFrame, block: DataFrame | None = None, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
+    """One row per page: page_id, host, path, rule (or null), verdict (allow or block).
+
+    ``block`` (host) is the list, by default ``listed_hosts`` of the pages; hosts on it that no page has don't enter the cascade. Nulls in it are left out.
+    """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     universe = parsed.groupBy(F.col("host").alias("key")).agg(F.count("*").alias("urls"))
-    cascade = Cascade(stored(universe.select("key", listed(F.col("key"), parts).alias("listed")), "hosts"))
+    named = (listed_hosts(pages) if block is None else block).select(F.col("host").alias("key"), F.lit(True).alias("on_list")).filter("key IS NOT NULL").distinct()
+    cascade = Cascade(stored(universe.join(named, "key", "left").select("key", F.coalesce("on_list", F.lit(False)).alias("listed")), "hosts"))
     rule, verdict = F, F
     for r in sorted(rules, key=lambda r: (-len(r.name), r.name)):  # the longest rule that fits wins
         rule, verdict = rule.when(r.fits(), F.lit(r.name)), verdict.when(r.fits(), F.lit(r.verdict))
