@@ -6,12 +6,14 @@ That fixed point has a closed form: with the sources in order of cap / weight, t
 the others get ``weight * (total - caps of the first k) / (weights of the others)``, k being the first position at which the next source is not above its cap.
 
 A source then takes ``floor(target / size)`` whole repetitions of each document, and one more of the
-documents that come first in a seeded order, until the target is met to half a document.
-That order is cut into buckets of about ``bucket_rows`` documents, whose sums give each bucket its start, so that no
-task holds a whole source.
-
-Nulls: a null text has size 0, a null source is a source of its own (last), a null
-doc_id orders as an empty one. Repeated rows are documents of their own. Sources of size 0 get target 0. An empty table gives an empty result.
+documents that come first in a seeded order, until the target is met to half a document. What is left of that order is one place in it for each source:
+it is cut into buckets of about ``bucket_rows`` documents, whose sums tell the bucket in which the place lies, and only that one is
+sorted. A row then sees by its own place whether it comes before, so that texts stay where they are read.
+
+Nulls: a null text has size 0, a null source is a source of its own (last); a null doc_id is drawn by its text. Empty texts have size 0 and get the whole repetitions only. Rows that agree in
+doc_id and text are documents of their own, but drawn together: all or none of them once more, whichever is nearer to the target. Ties in the order go by doc_id, size and the text's hash. A long text
+is a document like any other. Sources of size 0 get target 0. An empty table gives an empty result. The sources are sorted in one task: they are assumed to be few next to the documents.
+Columns may have any names: those beside doc_id and source are carried along apart from the operator's own.
 """
 
 from __future__ import annotations
@@ -25,15 +27,11 @@ WEIGHTS = (1, 2, 3)
 MAX_SOURCES_SENT = 100_000
 
 
-def _sized(docs: DataFrame, seed: str) -> DataFrame:
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), order.alias("u"), F.xxhash64("text").alias("text_hash"), *_keys())
-
-
-def _keys() -> list[Column]:
-    """128 bits of doc_id, source and text, which tell the rows apart but for repetitions."""
-    parts = [F.col("doc_id").isNull(), F.col("source").isNull(), "doc_id", "source", "text"]
-    return [F.xxhash64(*parts).alias("__pw_a"), F.xxhash64(F.lit(1), *parts).alias("__pw_b")]
+def _drawn(seed: str) -> list[Column]:
+    """A document's size and its place in the seeded order: a hash of its doc_id, or of its text without one."""
+    text = F.coalesce("text", F.lit(""))
+    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.md5(text))))
+    return [F.size(words(F.col("text"))).cast("long").alias("size"), order.alias("u"), F.xxhash64("text").alias("text_hash")]
 
 
 def water_fill(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -60,47 +58,66 @@ def weighted(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFram
     return sources.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (n + 1).cast("int")))
 
 
-def _attached(rows: DataFrame, sources: DataFrame, on: list[str], n: int) -> DataFrame:
-    """Joins by null-safe keys; the small side is sent to all tasks only if its counted rows are few."""
-    small = sources.select(*[F.col(c).alias(f"s_{c}") for c in on], *[c for c in sources.columns if c not in on])
-    cond: Column = F.lit(True)
-    for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"s_{c}"))
-    return rows.join(F.broadcast(small) if n <= MAX_SOURCES_SENT else small, cond).drop(*[f"s_{c}" for c in on])
+def _attached(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Joins by a null-safe source; the small side is sent to all tasks only if its counted rows are few."""
+    small = sources.withColumnRenamed("source", "s_source")
+    return rows.join(F.broadcast(small) if small.count() <= MAX_SOURCES_SENT else small, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
+
+
+def _bucket(buckets: Column) -> Column:
+    """The first 32 bits of the order give the bucket, so buckets follow each other in the order."""
+    return F.shiftright(F.conv(F.substring("u", 1, 8), 16, 10).cast("long") * buckets, 32)
+
 
+_ORDER = ["u", "doc_id", "size", "text_hash"]
 
-def mix(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, bucket_rows: int = 20_000) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken, and its 128-bit key."""
-    sized = stored(_sized(docs, seed), "sized")
+
+def plan(docs: DataFrame, seed: str = "mix-1", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, bucket_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """(rows, sources): all rows without their texts, and of each source its target and the place in the order up to which documents are taken once more.
+
+    The buckets' sums tell in which bucket of a source that place lies; only the rows of this one are sorted.
+    """
+    sized = stored(docs.select("doc_id", "source", *_drawn(seed)), "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     filled = water_fill(weighted(sources.select("source", "source_size"), weights), max_epochs)
-    plan = filled.join(sources.select(F.col("source").alias("r_source"), "rows"), F.col("source").eqNullSafe(F.col("r_source"))).drop("r_source")
+    out = filled.join(sources.select(F.col("source").alias("r_source"), "rows"), F.col("source").eqNullSafe(F.col("r_source"))).drop("r_source")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = stored(plan.withColumn("buckets", F.ceil(F.col("rows") / bucket_rows).cast("long")), "sources")
-    n = plan.count()
-    # The first 32 bits of the order give the bucket, so buckets follow each other in the order.
-    placed = _attached(sized, plan.select("source", "source_size", "target", "whole", "extra", "buckets"), ["source"], n)
-    placed = placed.withColumn("bucket", F.shiftright(F.conv(F.substring("u", 1, 8), 16, 10).cast("long") * F.col("buckets"), 32))
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    starts = stored(starts, "starts")
-    rows = _attached(placed, starts, ["source", "bucket"], starts.count())
-    within = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("start") + F.sum("size").over(within)
-    more = (F.col("size") > 0) & (end.cast("double") - F.col("size") / 2 <= F.col("extra"))
-    rows = rows.withColumn("copies", F.col("whole") + more.cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "__pw_a", "__pw_b")
+    out = out.withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
+    out = stored(out.select("source", "source_size", "target", "whole", "extra", F.ceil(F.col("rows") / bucket_rows).cast("long").alias("buckets")), "sources")
+    placed = _attached(sized, out.select("source", "extra", "buckets")).withColumn("bucket", _bucket(F.col("buckets")))
+    sums = stored(placed.groupBy("source", "bucket", "extra").agg(F.sum("size").alias("bucket_size")), "buckets")
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
+    # The first bucket that isn't taken as a whole.
+    cut = starts.filter(F.col("start") + F.col("bucket_size") > F.col("extra")).groupBy("source").agg(F.min(F.struct("bucket", "start")).alias("cut"))
+    cut = stored(cut.select("source", F.col("cut.bucket").alias("cut_bucket"), F.col("cut.start").alias("start")), "cuts")
+    inside = _attached(placed, cut).filter("bucket = cut_bucket")
+    same = inside.groupBy("source", "start", "extra", *_ORDER).agg(F.sum("size").alias("of"))
+    upto = Window.partitionBy("source").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = same.withColumn("end", F.col("start") + F.sum("of").over(upto)).filter(F.col("end").cast("double") - F.col("of") / 2 <= F.col("extra"))
+    last = taken.groupBy("source").agg(F.max(F.struct(*_ORDER)).alias("last")).withColumnRenamed("source", "l_source")
+    ends = cut.drop("start").join(last, F.col("source").eqNullSafe(F.col("l_source")), "left").drop("l_source").withColumnRenamed("source", "c_source")
+    return sized, stored(out.join(ends, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source", "extra"), "plan")
+
+
+def _copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` (source, _ORDER) with their sources' columns and ``copies``. A source without a ``cut_bucket`` is taken once more as a whole."""
+    placed = _attached(rows, sources)
+    bucket = _bucket(F.col("buckets"))
+    more = F.col("cut_bucket").isNull() | (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & F.coalesce(F.struct(*_ORDER) <= F.col("last"), F.lit(False)))
+    return placed.withColumn("copies", F.col("whole") + ((F.col("size") > 0) & more).cast("long"))
+
+
+def mix(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
+    rows = _copies(*plan(docs, seed, **options))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def sample(docs: DataFrame, seed: str = "mix-1", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as ``mix`` takes it.
-
-    Documents meet their copies by a 128-bit key; rows of one key share its copies out evenly.
-    """
-    key = ["__pw_a", "__pw_b"]
-    plan = mix(docs, seed, **options).groupBy(*key).agg(F.sum("copies").alias("__pw_sum"), F.count("*").alias("__pw_rows"))
-    joined = docs.select("*", *_keys()).join(plan, key)
-    joined = joined.withColumn("__pw_k", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
-    copies = F.floor(F.col("__pw_sum") / F.col("__pw_rows")) + (F.col("__pw_k") <= F.col("__pw_sum") % F.col("__pw_rows")).cast("long")
-    return joined.withColumn("__pw_n", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, decided and repeated where it is read: no text is shuffled."""
+    _, sources = plan(docs, seed, **options)
+    own = [c for c in docs.columns if c not in ("doc_id", "source")]
+    bare = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in own]).alias("__pw_row"), *_drawn(seed))
+    taken = _copies(bare, sources).withColumn("__pw_n", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*[F.col(c) if c in ("doc_id", "source") else F.col("__pw_row")[c].alias(c) for c in docs.columns])

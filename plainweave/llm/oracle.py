@@ -13,7 +13,7 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(bare) AS text_sha256 F
 
 OP7 = rf"""
 WITH d AS (
-  SELECT doc_id, source, {WORDS}::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS u FROM documents),
+  SELECT doc_id, source, {WORDS}::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS u FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
     1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
