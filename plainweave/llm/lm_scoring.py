@@ -3,21 +3,27 @@
 The corpus's training documents are those whose crc32(doc_id as text) mod 10 is not 0. Their unigrams and
 bigrams (from the end token of the text before, as it were) are counted over all of them: summed in each task, then by hash.
 
-The filter holds, of an n-gram of count c, the levels 1 to L = 1 + floor(log2 c); those seen once are held as well. A probe asks for level 1, 2, ... until one is missing, and takes
-the middle of the counts of the last one. All levels and probes of an n-gram lie in one of ``BLOCKS`` blocks of the filter, so
-tasks build blocks of it from the counts they hold, and the driver writes them to a file, a few at a time: ``bits_per_entry`` to twice as many bits a
-level, whatever the size of the corpus, so at the default of 10 a level is found by chance at a rate of (1 - exp(-3/10))^3 = 1.7% at most. Each executor
-gets the file once (``SparkContext.addFile``), and its workers map it rather than read it, so that it may be larger than their memory.
-
-p(w | v) = max(c(v w) - D, 0) / c(v) + (1 - s) p(w), with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); s is the part that
-discounted bigrams have in training tokens whose predecessor has a count of the same level as v, measured in a pass over all
-training documents. ``score`` is the sum of log10 p over a text's tokens.
-
-``base_score`` uses exact counts: those of the ``common`` most frequent tokens (a fixed number) are broadcast,
+The filter holds, of an n-gram of count c, its levels 1 to L = 1 + floor(log2 c), and those of the binary digits after the leading one that are
+set: of a bigram the next ``DIGITS``, of a unigram all. A probe asks for level 1, 2, ... until one is missing, then for the digits; counts below 16, and all
+counts of unigrams, come back exactly, others as the middle of the counts with these digits. Level 1 has so many bits that over a vocabulary of V words a context
+meets about a thirtieth of a word by mistake. All bits of an n-gram lie in one line of ``LINE`` bits, and the lines of a range of hashes are one block, so
+tasks build blocks from the counts they hold. Half of the bits are set, whatever the size of the corpus: nothing is left out when it grows.
+
+With P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), p(w | v) = (c(v w) + mu P(w)) / (c(v) + mu + F): what follows v adds up to c(v), and F is what
+mistakes add to it over the vocabulary (from the bits that are set), so the probabilities add up to 1. mu is such that the unigram part
+has, over all training tokens, the mass that bigrams seen once have (Good-Turing). A word or context not in training
+is scored by P alone. ``score`` is the sum of log10 p over a text's tokens.
+
+A filter of at most ``most_bytes`` (4 GB) is sent: written to one file that each executor gets once (``SparkContext.addFile``) and its workers map rather
+than read. A larger one stays a table of blocks: each chunk of texts asks for its distinct n-grams, the asks are shuffled to their blocks and the answers back.
+Both ways read the same bits and give the same scores. What is shuffled grows with the texts, and no task holds more than a block or a chunk.
+
+``base_score`` uses exact counts: those of the most frequent tokens (above a count that at most ``common`` tokens reach) are broadcast,
 and all others are joined by hash. Tokens and bigrams are told apart by 64-bit hashes.
 
-Nulls: a null text has the end token only; a null doc_id counts as an empty one (held out). Repeated rows are
-documents of their own. An empty table gives an empty result; without training documents N and V are 0.
+Nulls: a null text has the end token only, like an empty one; a null doc_id counts as an empty one (held out). Repeated rows are
+documents of their own. Tokens of equal counts are treated alike. A long text is a chunk of its own; its tokens are arrays in one task. An empty table gives an empty result; without training documents N and V are 0.
+Columns other than doc_id and text are not read, whatever their names. Bits depend on the number of shuffle partitions only in which mistakes they make; reruns agree.
 """
 
 from __future__ import annotations
@@ -27,17 +33,20 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainweave.llm.common import stored
 from plainweave.llm.ragged import LOWER, chunks, mix, padded, split_words, xxh64
 
-BLOCKS, PROBES, DISCOUNT, LEVELS = 1024, 3, 0.75, 64
+LINE, DIGITS, LEVELS, OFFSETS = 4096, 3, 48, 5
+#: Probes of levels above 1 and of digits, by kind of n-gram (unigrams, bigrams).
+PROBES = (16, 8)
 END = np.uint64(0x9E3779B97F4A7C15)
 _BIGRAM = np.uint64(0xD1B54A32D192ED03)
 _HELD_ROWS = 3_000_000
@@ -69,68 +78,110 @@ def bigram(before: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """The filter's bits, and the numbers that the model needs beside them."""
+    """The bits of some blocks, from ``first_block`` on. ``first_probes``: those of level 1."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.block_bits = bits, len(bits) * 8 // BLOCKS
+    def __init__(self, bits: np.ndarray, blocks: int, lines: int, first_probes: int, first_block: int = 0):
+        self.bits, self.blocks, self.lines, self.first_probes, self.first_block = bits, blocks, lines, first_probes, first_block
 
     @staticmethod
-    def places(h: np.ndarray, level: int | np.ndarray, block_bits: int) -> list[np.ndarray]:
-        """The bit of each probe within the n-gram's block."""
-        g = mix(h, np.asarray(level, np.uint64))
-        if block_bits > 1 << 21:  # one hash hasn't the bits for all probes
-            return [(mix(g, np.uint64(j)) & np.uint64(block_bits - 1)).astype(np.int64) for j in range(PROBES)]
-        return [((g >> np.uint64(21 * j)) & np.uint64(block_bits - 1)).astype(np.int64) for j in range(PROBES)]
+    def block(h: np.ndarray, blocks: int) -> np.ndarray:
+        """Blocks are ranges of hashes, a power of two in all."""
+        return (h >> np.uint64(65 - blocks.bit_length())).astype(np.int64)
 
-    @staticmethod
-    def block(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(54)).astype(np.int64)
+    def base(self, h: np.ndarray) -> np.ndarray:
+        """The first bit of each n-gram's line."""
+        inner = (h << np.uint64(self.blocks.bit_length() - 1)) >> np.uint64(32)
+        line = (inner * np.uint64(self.lines) >> np.uint64(32)).astype(np.int64)
+        return ((self.block(h, self.blocks) - self.first_block) * self.lines + line) * LINE
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """Of each n-gram, the last level found in a row from 1."""
-        out = np.zeros(len(h), np.int64)
+    @staticmethod
+    def places(h: np.ndarray, tag: int, probes: int) -> Iterator[np.ndarray]:
+        """The bit of each probe within the line."""
+        for j in range(probes):
+            if j % OFFSETS == 0:
+                g = mix(h, np.uint64(tag * 64 + j // OFFSETS))
+            yield (g >> np.uint64(12 * (j % OFFSETS)) & np.uint64(LINE - 1)).astype(np.int64)
+
+    def probes(self, tag: int, kind: int) -> int:
+        return self.first_probes if tag == 1 else PROBES[kind]
+
+    def holds(self, h: np.ndarray, base: np.ndarray, tag: int, kind: int) -> np.ndarray:
+        """The places of those n-grams that have all bits of an entry."""
         at = np.arange(len(h))
-        base = self.block(h) * self.block_bits
-        for level in range(1, LEVELS):
+        for j, place in enumerate(self.places(h, tag, self.probes(tag, kind))):
+            bit = base[at] + (place[at] if len(at) < len(h) else place)
+            at = at[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
             if not len(at):
                 break
-            found = np.ones(len(at), bool)
-            for bit in self.places(h[at], level, self.block_bits):
-                bit = bit + base[at]
-                found &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-            at = at[found]
-            out[at] = level
-        return out
+            if j % OFFSETS == OFFSETS - 1 and len(at) < len(h) // 2:
+                return at[self._rest(h[at], base[at], tag, kind, j + 1)]
+        return at
+
+    def _rest(self, h: np.ndarray, base: np.ndarray, tag: int, kind: int, done: int) -> np.ndarray:
+        ok = np.ones(len(h), bool)
+        for j, place in enumerate(self.places(h, tag, self.probes(tag, kind))):
+            if j >= done:
+                bit = base + place
+                ok &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+        return ok
+
+    def counts(self, h: np.ndarray, kind: int) -> np.ndarray:
+        """The counts of some n-grams, as the filter has them."""
+        base, level = self.base(h), np.zeros(len(h), np.int64)
+        at = np.arange(len(h))
+        for tag in range(1, LEVELS):
+            at = at[self.holds(h[at], base[at], tag, kind)]
+            if not len(at):
+                break
+            level[at] = tag
+        out = np.where(level > 0, np.exp2(level - 1.0), 0.0)
+        lowest = np.maximum(level - 1 - DIGITS, 0) if kind else np.zeros(len(h), np.int64)
+        for digit in range(int(level.max(initial=0)) - 1):
+            some = np.flatnonzero((level - 1 > digit) & (digit >= lowest))
+            found = some[self.holds(h[some], base[some], LEVELS + digit, kind)]
+            out[found] += float(1 << digit)
+        return out + np.where(level > 0, (np.exp2(lowest) - 1) / 2, 0.0)
 
 
-def _middle(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level."""
-    low = np.exp2(level - 1.0)
-    return np.where(level > 0, (3 * low - 1) / 2, 0.0)
+def _entries(c: np.ndarray, kind: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(tag, places of the n-grams that have it) for n-grams of counts ``c``."""
+    level = np.floor(np.log2(c)).astype(np.int64) + 1
+    for tag in range(1, int(level.max(initial=0)) + 1):
+        yield tag, np.flatnonzero(level >= tag)
+    lowest = np.maximum(level - 1 - DIGITS, 0) if kind else np.zeros(len(c), np.int64)
+    for digit in range(int(level.max(initial=0)) - 1):
+        yield LEVELS + digit, np.flatnonzero((level - 1 > digit) & (digit >= lowest) & (c >> digit & 1).astype(bool))
 
 
-class Model:
-    def __init__(self, bits: np.ndarray, total: int, distinct: int, shares: np.ndarray):
-        self.filter, self.total, self.distinct, self.shares = LogFrequencyFilter(bits), total, distinct, shares
+class Numbers:
+    """What the model needs beside the filter."""
+
+    def __init__(self, total: int, distinct: int, mu: float, mistakes: float):
+        self.total, self.distinct, self.mu, self.mistakes = total, distinct, mu, mistakes
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.1) / (self.total + 0.1 * (self.distinct + 1))
 
-    def counts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: its count, its predecessor's count and level, and the bigram's count, all from the filter."""
-        before = predecessors(h)
-        keys, back = np.unique(h, return_inverse=True)
-        level = self.filter.levels(keys)[back]
-        end = int(self.filter.levels(np.array([END]))[0])
-        before_level = np.concatenate([[end], level[:-1]]) if len(h) else level
-        pairs, again = np.unique(bigram(before, h), return_inverse=True)
-        pair = _middle(self.filter.levels(pairs))[again]
-        return _middle(level), _middle(before_level), before_level, pair
+    def probability(self, one: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """p(w | v) from the counts of w, v and v w."""
+        known = (before > 0) & (one > 0)
+        pair = np.where(known, np.minimum(pair, np.minimum(one, before)), 0.0)
+        under = np.where(before > 0, before + self.mistakes, 0.0) + self.mu
+        return (pair + self.mu * self.unigram(one)) / under
+
 
-    def log10(self, h: np.ndarray) -> np.ndarray:
-        one, before, level, pair = self.counts(h)
-        seen = np.minimum(np.maximum(pair - DISCOUNT, 0) / np.maximum(before, 1), self.shares[level])
-        return np.log10(seen + (1 - self.shares[level]) * self.unigram(one))
+class Ask:
+    """The distinct n-grams of some tokens, and what their counts say of each token."""
+
+    def __init__(self, h: np.ndarray):
+        self.one, back = np.unique(np.append(h, END), return_inverse=True)
+        self.back, self.end = back[:-1], back[-1]
+        self.pairs, self.again = np.unique(bigram(predecessors(h), h), return_inverse=True)
+
+    def log10(self, numbers: Numbers, one: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        each = one[self.back]
+        before = np.concatenate([[one[self.end]], each[:-1]]) if len(each) else each
+        return np.log10(numbers.probability(each, before, pairs[self.again]))
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +196,13 @@ def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(taught, pa.bool_()))
 
 
+def block_count(partitions: int) -> int:
+    """How many blocks to cut the hashes into: more than tasks, so that these get even shares."""
+    return max(1024, 1 << (4 * partitions - 1).bit_length())
+
+
 def count(docs: DataFrame, partitions: int) -> DataFrame:
-    """(block, kind, h, c): exact counts of the training documents' unigrams (kind 0) and bigrams (kind 1)."""
+    """(block, kind, h, c): exact counts of the training documents' unigrams (kind 0) and bigrams (kind 1), block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
@@ -158,7 +214,7 @@ def count(docs: DataFrame, partitions: int) -> DataFrame:
                     parts.clear()
                     for lo in range(0, len(h), 100_000):
                         x = h[lo : lo + 100_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(LogFrequencyFilter.block(x).astype(np.int16)), pa.array(np.full(len(x), kind, np.int8)), pa.array(x.view(np.int64)), pa.array(c[lo : lo + 100_000].astype(np.int32))], names=["block", "kind", "h", "c"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x.view(np.int64)), pa.array(c[lo : lo + 100_000])], names=["kind", "h", "c"])
 
         rows = 0
         for _, data, offsets in chunks(_train_batches(batches)):
@@ -172,104 +228,217 @@ def count(docs: DataFrame, partitions: int) -> DataFrame:
                 rows = 0
         yield from out()
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, "block short, kind byte, h long, c int")
+    parts = docs.select("doc_id", "text").mapInArrow(run, "kind byte, h long, c long")
+    block = F.shiftrightunsigned("h", 65 - block_count(partitions).bit_length()).cast("int").alias("block")
     # One shuffle, by block: the sums need no further one, and the stored files hold whole blocks.
-    summed = parts.repartition(partitions, "block").groupBy("block", "kind", "h").agg(F.sum("c").alias("c"))
-    return stored(summed, "counts")
+    summed = parts.select(block, "kind", "h", "c").repartition(partitions, "block").groupBy("block", "kind", "h").agg(F.sum("c").alias("c"))
+    return stored(summed.sortWithinPartitions("block", "kind"), "counts")
+
 
+def first_probes(distinct: int) -> int:
+    """So many that a context meets about a thirtieth of a word by mistake over the vocabulary."""
+    return max(8, ceil(np.log2(32 * max(1, distinct))))
 
-def log2_bits(entries: int, bits_per_entry: int = 10) -> int:
-    return max(20, int(entries * bits_per_entry).bit_length())
 
+def _probes(probes: int) -> Column:
+    """How many bits a row of ``counts`` sets at most."""
+    level = F.floor(F.log2("c")).cast("int")
+    drop = F.when(F.col("kind") == 1, F.greatest(level - DIGITS, F.lit(0))).otherwise(F.lit(0))
+    digits = F.bit_count(F.call_function("shiftright", F.col("c"), drop)) - 1
+    return F.lit(probes) + (level + digits) * F.when(F.col("kind") == 1, PROBES[1]).otherwise(PROBES[0])
 
-def build(counts: DataFrame, bits_per_entry: int = 10) -> str:
-    """The filter's file, by the name that ``SparkFiles`` knows it by: its blocks are made where their counts are, and written by the driver one by one."""
-    entries = counts.agg(F.sum(F.floor(F.log2("c")) + 1)).first()[0] or 0
-    block_bits = (1 << log2_bits(entries, bits_per_entry)) // BLOCKS
+
+def build(counts: DataFrame, blocks: int, probes: int) -> tuple[DataFrame, int]:
+    """(table of block, bits, mistakes; lines a block): the filter, each block made in the task that holds its counts. ``mistakes``: how often level 1 is found by chance, summed over the block's lines."""
+    wanted = counts.agg(F.sum(_probes(probes))).first()[0] or 0
+    lines = max(1, ceil(wanted / log(2) / (blocks * LINE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
+        def out(k: int, bits: np.ndarray) -> pa.RecordBatch:
+            fill = bits.reshape(lines, LINE).mean(axis=1)
+            packed = np.packbits(bits, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary()), pa.array([float((fill**probes).sum())])], names=["block", "bits", "mistakes"])
+
+        now, bits = -1, np.zeros(0, bool)
         for batch in batches:
-            h = batch.column(2).to_numpy().view(np.uint64)
-            top = np.log2(batch.column(3).to_numpy()).astype(np.int64) + 1
-            block = LogFrequencyFilter.block(h)
-            order = np.argsort(block, kind="stable")
-            for idx in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            block, kind, h, c = (batch.column(k).to_numpy() for k in range(4))
+            key = block.astype(np.int64) * 2 + kind
+            for idx in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
                 if not len(idx):
                     continue
-                bits = made.setdefault(int(block[idx[0]]), np.zeros(block_bits, bool))
-                for level in range(1, int(top[idx].max()) + 1):
-                    for at in LogFrequencyFilter.places(h[idx[top[idx] >= level]], level, block_bits):
-                        bits[at] = True
-        for k, bits in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
-
+                k, of = int(block[idx[0]]), int(kind[idx[0]])
+                if k != now:
+                    if now >= 0:
+                        yield out(now, bits)
+                    now, bits = k, np.zeros(lines * LINE, bool)
+                made = LogFrequencyFilter(bits, blocks, lines, probes, k)
+                grams = h[idx].view(np.uint64)
+                base = made.base(grams)
+                for tag, at in _entries(c[idx], of):
+                    for place in made.places(grams[at], tag, made.probes(tag, of)):
+                        bits[base[at] + place] = True
+        if now >= 0:
+            yield out(now, bits)
+
+    made = counts.select("block", "kind", "h", "c").sortWithinPartitions("block", "kind").mapInArrow(run, "block int, bits binary, mistakes double")
+    return stored(made, "filter"), lines
+
+
+def sent(table: DataFrame, blocks: int, lines: int) -> str:
+    """The filter's file, by the name that ``SparkFiles`` knows it by; the driver writes it block by block."""
     path = os.path.join(tempfile.mkdtemp(prefix="plainweave-"), f"plainweave-lm-{uuid.uuid4().hex}")
-    out = np.memmap(path, np.uint8, "w+", shape=(BLOCKS, block_bits // 8))
-    for row in counts.select("block", "kind", "h", "c").mapInArrow(run, "block int, bits binary").toLocalIterator():
-        out[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
+    out = np.memmap(path, np.uint8, "w+", shape=(blocks, lines * LINE // 8))
+    for row in table.select("block", "bits").toLocalIterator(prefetchPartitions=True):
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     out.flush()
     del out
-    counts.sparkSession.sparkContext.addFile(path)
+    table.sparkSession.sparkContext.addFile(path)
     return os.path.basename(path)
 
 
 def mapped(name: str) -> np.ndarray:
-    """The bytes of a file that ``build`` has made."""
+    """The bytes of a file that ``sent`` has made."""
     return np.memmap(SparkFiles.get(name), np.uint8, "r").view(np.ndarray)
 
 
-def calibrate(docs: DataFrame, model: Callable[[], Model]) -> np.ndarray:
-    """By level of the predecessor, the part of all training tokens that discounted bigrams in the filter account for."""
-
+def good_turing(counts: DataFrame) -> float:
+    """mu: over all training tokens the unigram part has the mass of the bigrams seen once."""
+    single = counts.filter("kind = 1 AND c = 1").count()
+    level = F.floor(F.log2("c") * 16)
+    seen = counts.filter("kind = 0").groupBy(level.alias("level")).agg(F.sum("c").alias("sum"), F.count("*").alias("n")).collect()
+    total, mean = np.array([float(r["sum"]) for r in seen]), np.array([r["sum"] / r["n"] for r in seen])
+    low, high = 0.1, 1e6
+    for _ in range(60):
+        mu = (low * high) ** 0.5
+        if (total * mu / (mean + mu)).sum() < single:
+            low = mu
+        else:
+            high = mu
+    return mu
+
+
+def _scores(numbers: Numbers, known: tuple[np.ndarray, np.ndarray], ids: pa.Array, h: np.ndarray, n: np.ndarray, each: np.ndarray, row: int) -> pa.RecordBatch:
+    """The rows of a chunk: sums by text of the score and of the frequent tokens' base, and the hashes of the other tokens."""
+    keys, c = known
+    text = np.repeat(np.arange(len(n)), n)
+    at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+    found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+    base = np.zeros(len(h))
+    base[found] = np.log10(numbers.unigram(c[at[found]]))
+    rare = ~found
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(text[rare], minlength=len(n)))]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.arange(row, row + len(n))), ids, pa.array([held_out(i) for i in ids.to_pylist()]), pa.array(n),
+        pa.array(np.bincount(text[found], minlength=len(n))), pa.array(np.bincount(text, base, len(n))), pa.array(np.bincount(text, each, len(n))),
+        pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[rare].view(np.int64))),
+    ], names=["row", "doc_id", "held_out", "n_tokens", "n_common", "base_common", "score", "rare"])
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_common long, base_common double, score double, rare array<long>"
+
+
+def _scored_by_file(docs: DataFrame, name: str, made: Callable[[np.ndarray], LogFrequencyFilter], numbers: Numbers, known) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen, all_ = model(), np.zeros(LEVELS), np.zeros(LEVELS)
-        for _, data, offsets in chunks(_train_batches(batches)):
-            h, _ = tokens(data, offsets)
-            _, _, level, pair = m.counts(h)
-            all_ += np.bincount(level, minlength=LEVELS)
-            seen += np.bincount(level, np.maximum(pair - DISCOUNT, 0) / np.maximum(pair, 1), LEVELS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(seen), pa.array(all_)], names=["level", "seen", "n"])
+        bits, row = made(mapped(name)), TaskContext.get().partitionId() << 40
+        for batch, data, offsets in chunks(batches):
+            h, n = tokens(data, offsets)
+            ask = Ask(h)
+            one = bits.counts(ask.one, 0)
+            yield _scores(numbers, known.value, batch.column(0), h, n, ask.log10(numbers, one, bits.counts(ask.pairs, 1)), row)
+            row += len(n)
 
-    out = np.zeros(LEVELS)
-    for r in docs.select("doc_id", "text").mapInArrow(run, "level long, seen double, n double").groupBy("level").agg(F.sum("seen").alias("seen"), F.sum("n").alias("n")).collect():
-        out[r["level"]] = min(0.99, r["seen"] / r["n"]) if r["n"] else 0.0
-    return out
+    return docs.mapInArrow(run, SCORED)
 
 
-def score(docs: DataFrame, common: int = 1 << 16, bits_per_entry: int = 10) -> DataFrame:
+def _scored_by_blocks(docs: DataFrame, table: DataFrame, blocks: int, made: Callable[..., LogFrequencyFilter], numbers: Numbers, known, partitions: int) -> DataFrame:
+    """Each chunk's distinct n-grams go to their blocks, and their counts come back to the chunk; hashes are sorted, so that the answers' order is theirs."""
+    schema = "chunk long, kind byte, block int, body binary, ids array<long>, n array<long>"
+    names = ["chunk", "kind", "block", "body", "ids", "n"]
+
+    def rows(chunk: list[int], kind: int, block: list[int], body: list[bytes], ids=None, n=None) -> pa.RecordBatch:
+        none = pa.nulls(len(chunk), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([kind] * len(chunk), pa.int8()), pa.array(block, pa.int32()), pa.array(body, pa.binary()), none if ids is None else pa.array([ids], pa.list_(pa.int64())), none if n is None else pa.array([n], pa.list_(pa.int64()))], names=names)
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch, data, offsets in chunks(batches):
+            h, n = tokens(data, offsets)
+            ask = Ask(h)
+            for kind, keys in ((0, ask.one), (1, ask.pairs)):
+                block = LogFrequencyFilter.block(keys, blocks)
+                parts = np.split(keys, np.flatnonzero(np.diff(block)) + 1)
+                yield rows([at] * len(parts), kind, [int(x) for x in block[np.cumsum([0, *map(len, parts[:-1])])]], [x.tobytes() for x in parts])
+            yield rows([at], 2, [-1], [h.tobytes()], batch.column(0).to_pylist(), n.tolist())
+            at += len(n)
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            for chunk, kind, block, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if kind < 0:
+                    now = (block, made(np.frombuffer(body, np.uint8), block))
+                else:
+                    h = np.frombuffer(body, np.uint64)
+                    found = now[1].counts(h, kind) if now and now[0] == block else np.zeros(len(h))
+                    yield rows([chunk], kind, [block], [found.tobytes()])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {0: [], 1: []}
+        for batch in batches:
+            for chunk, kind, _, body, ids, n in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if kind < 2:
+                    held[kind].append(body)
+                    continue
+                h, n = np.frombuffer(body, np.uint64), np.array(n, np.int64)
+                one, pairs = (np.frombuffer(b"".join(held[k]), float) for k in (0, 1))
+                yield _scores(numbers, known.value, pa.array(ids, pa.int64()), h, n, Ask(h).log10(numbers, one, pairs), chunk)
+                held = {0: [], 1: []}
+
+    asked = stored(docs.mapInArrow(asks, schema), "asks")
+    bits = table.select(F.lit(-1).cast("long").alias("chunk"), F.lit(-1).cast("byte").alias("kind"), "block", F.col("bits").alias("body"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("n"))
+    found = asked.filter("kind < 2").unionByName(bits).repartition(partitions, "block").sortWithinPartitions("block", "kind").mapInArrow(answers, schema)
+    both = found.unionByName(asked.filter("kind = 2")).repartition(partitions, "chunk").sortWithinPartitions("chunk", "kind", "block")
+    return both.mapInArrow(scores, SCORED)
+
+
+def _frequent(words: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the tokens above a count that at most ``common`` reach, found by counting the tokens of like counts."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    held, above = 0, None
+    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > common:
+            break
+        above = r["level"]
+    if above is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = words.filter(level >= above).toPandas()
+    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def score(docs: DataFrame, common: int = 1 << 16, most_bytes: int = 1 << 32) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark: SparkSession = docs.sparkSession
-    counts = count(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs, partitions = docs.select("doc_id", "text"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, counts = block_count(partitions), count(docs, partitions)
     words = counts.filter("kind = 0").select("h", "c")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("c"), "h").limit(common).toPandas().sort_values("h", key=lambda h: h.to_numpy().view(np.uint64))
-    context = spark.sparkContext
-    name = build(counts, bits_per_entry)
-    shares = calibrate(docs, lambda: Model(mapped(name), total, distinct, np.zeros(LEVELS)))
-    known = context.broadcast((top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, (keys, c), row = Model(mapped(name), total, distinct, shares), known.value, TaskContext.get().partitionId() << 40
-        for batch, data, offsets in chunks(batches):
-            h, n = tokens(data, offsets)
-            text = np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            base = np.zeros(len(h))
-            base[found] = np.log10(m.unigram(c[at[found]]))
-            rare = ~found
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(text[rare], minlength=len(n)))]).astype(np.int32)
-            ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(row, row + len(n))), ids, pa.array([held_out(i) for i in ids.to_pylist()]), pa.array(n),
-                pa.array(np.bincount(text[found], minlength=len(n))), pa.array(np.bincount(text, base, len(n))), pa.array(np.bincount(text, m.log10(h), len(n))),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[rare].view(np.int64))),
-            ], names=["row", "doc_id", "held_out", "n_tokens", "n_common", "base_common", "score", "rare"])
-            row += len(n)
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_common long, base_common double, score double, rare array<long>"
-    scored = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "scored")
+    probes = first_probes(distinct)
+    table, lines = build(counts, blocks, probes)
+    by_chance = table.agg(F.coalesce(F.sum("mistakes"), F.lit(0.0))).first()[0] / (blocks * lines)
+    numbers = Numbers(total, distinct, good_turing(counts), by_chance * distinct)
+    known = spark.sparkContext.broadcast(_frequent(words, common))
+
+    def made(bits: np.ndarray, block: int = 0) -> LogFrequencyFilter:
+        return LogFrequencyFilter(bits, blocks, lines, probes, block)
+
+    if blocks * lines * LINE // 8 <= most_bytes:
+        rows = _scored_by_file(docs, sent(table, blocks, lines), made, numbers, known)
+    else:
+        rows = _scored_by_blocks(docs, table, blocks, made, numbers, known, partitions)
+    scored = stored(rows, "scored")
     one = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
     rare = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("n")).join(words, "h", "left")
     sums = rare.groupBy("row").agg(F.sum(F.col("n") * one).alias("base_rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_rare"))
