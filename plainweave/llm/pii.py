@@ -6,12 +6,14 @@ A value is mapped to a number in the domain of its format, permuted there by a k
 network, again and again until the result is valid (cycle walking), and written in the same format: separators, lengths,
 check digits and calendar stay right. The card and IBAN patterns may take in numbers or words that follow a value: a match that
 isn't valid is tried up to each of its separators (IBAN: the country's length first, then as cards the longest first), then as the other kinds, and the
-search goes on just after its start. Equal values give equal pseudonyms in all documents, different values different ones, and
+search goes on just after its start. Each place of a text is replaced once: local parts of addresses are found first, and numbers only beside them. Equal values give equal pseudonyms in all documents, different values different ones, and
 the key undoes it (``Pseudonyms(key, back=True)``), but where a card's pseudonym and the digits after it, or an IBAN's of no listed country and the words after it,
 happen to be valid together: the pseudonym depends on the value only, not on what follows.
 
 Each text is handled on its own, whole and in one pass; nothing is shuffled. Nulls: a null text stays null with no values
-found, a null doc_id stays null. Repeated rows give equal rows. An empty table gives an empty result.
+found, an empty one stays empty, a null doc_id stays null. Repeated rows give equal rows. A text is searched from left to right: of values that overlap the one that starts first is taken, of
+those with one start the kind that stands first in PATTERNS. A long text is one string in its task; the search goes over it once. An empty table gives an empty result.
+Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -169,26 +171,29 @@ class Pseudonyms:
     def text(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with its values replaced, and how many of each kind."""
         n = dict.fromkeys(KINDS, 0)
-
-        def put(m: re.Match) -> str:
+        out: list[str] = []
+        begin = 0
+        for mail in EMAIL.finditer(text) if "@" in text else ():
+            self._numbers(text, begin, mail.start(), out, n)
+            out.append(self.of("email", mail[0]))
             n["email"] += 1
-            return self.of("email", m[0])
-
-        if "@" in text:
-            text = EMAIL.sub(put, text)
-        if not _DIGIT.search(text):
-            return text, n
-        out, done, at = [], 0, 0
-        while m := NUMBERS.search(text, at):
+            begin = mail.end()
+        self._numbers(text, begin, len(text), out, n)
+        return "".join(out), n
+
+    def _numbers(self, text: str, begin: int, end: int, out: list[str], n: dict[str, int]) -> None:
+        """Adds the text from ``begin`` to ``end`` with its numbers and dates replaced. What is beside that part still counts as beside it."""
+        done = at = begin
+        while at < end and _DIGIT.search(text, at, end) and (m := NUMBERS.search(text, at)) and m.start() < end:
             at = m.start() + 1
-            for kind, end in ends(m):
-                new = self.of(kind, text[m.start() : end])
+            for kind, stop in ends(m):
+                new = self.of(kind, text[m.start() : stop]) if stop <= end else None
                 if new is not None:
                     out += text[done : m.start()], new
-                    done = at = end
+                    done = at = stop
                     n[kind] += 1
                     break
-        return "".join(out) + text[done:], n
+        out.append(text[done:end])
 
 
 def ends(m: re.Match) -> Iterator[tuple[str, int]]:
