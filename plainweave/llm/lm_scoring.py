@@ -6,7 +6,7 @@ bigrams (from the end token of the text before, as it were) are counted over all
 The filter holds, of an n-gram of count c, its levels 1 to L = 1 + floor(log2 c), and those of the binary digits after the leading one that are
 set: of a bigram the next ``DIGITS``, of a unigram all. A probe asks for level 1, 2, ... until one is missing, then for the digits; counts below 16, and all
 counts of unigrams, come back exactly, others as the middle of the counts with these digits. Level 1 has so many bits that over a vocabulary of V words a context
-meets about a thirtieth of a word by mistake. All bits of an n-gram lie in one line of ``LINE`` bits, and the lines of a range of hashes are one block, so
+meets about a fourth of a word by mistake. All bits of an n-gram lie in one line of ``LINE`` bits, and the lines of a range of hashes are one block, so
 tasks build blocks from the counts they hold. Half of the bits are set, whatever the size of the corpus: nothing is left out when it grows.
 
 With P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), p(w | v) = (c(v w) + mu P(w)) / (c(v) + mu + F): what follows v adds up to c(v), and F is what
@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from plainweave.llm.common import stored
 from plainweave.llm.ragged import LOWER, chunks, mix, padded, split_words, xxh64
+from plainweave.tables import discard
 
 LINE, DIGITS, LEVELS, OFFSETS = 4096, 3, 48, 5
 #: Probes of levels above 1 and of digits, by kind of n-gram (unigrams, bigrams).
@@ -236,8 +237,8 @@ def count(docs: DataFrame, partitions: int) -> DataFrame:
 
 
 def first_probes(distinct: int) -> int:
-    """So many that a context meets about a thirtieth of a word by mistake over the vocabulary."""
-    return max(8, ceil(np.log2(32 * max(1, distinct))))
+    """So many that a context meets an eighth of a word by mistake over the vocabulary, if half of the bits are set in every line."""
+    return max(8, ceil(np.log2(8 * max(1, distinct))))
 
 
 def _probes(probes: int) -> Column:
@@ -423,12 +424,13 @@ def score(docs: DataFrame, common: int = 1 << 16, most_bytes: int = 1 << 32) ->
     spark: SparkSession = docs.sparkSession
     docs, partitions = docs.select("doc_id", "text"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks, counts = block_count(partitions), count(docs, partitions)
-    words = counts.filter("kind = 0").select("h", "c")
+    words = stored(counts.filter("kind = 0").select("h", "c"), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     probes = first_probes(distinct)
     table, lines = build(counts, blocks, probes)
     by_chance = table.agg(F.coalesce(F.sum("mistakes"), F.lit(0.0))).first()[0] / (blocks * lines)
     numbers = Numbers(total, distinct, good_turing(counts), by_chance * distinct)
+    discard(counts)
     known = spark.sparkContext.broadcast(_frequent(words, common))
 
     def made(bits: np.ndarray, block: int = 0) -> LogFrequencyFilter:
@@ -436,6 +438,7 @@ def score(docs: DataFrame, common: int = 1 << 16, most_bytes: int = 1 << 32) ->
 
     if blocks * lines * LINE // 8 <= most_bytes:
         rows = _scored_by_file(docs, sent(table, blocks, lines), made, numbers, known)
+        discard(table)
     else:
         rows = _scored_by_blocks(docs, table, blocks, made, numbers, known, partitions)
     scored = stored(rows, "scored")
