@@ -6,8 +6,8 @@ bigrams (from the end token of the text before, as it were) are counted over all
 The filter holds, of an n-gram of count c, its levels 1 to L = 1 + floor(log2 c), and those of the binary digits after the leading one that are
 set: of a bigram the next ``DIGITS``, of a unigram all. A probe asks for level 1, 2, ... until one is missing, then for the digits; counts below 16, and all
 counts of unigrams, come back exactly, others as the middle of the counts with these digits. Level 1 has so many bits that over a vocabulary of V words a context
-meets about a fourth of a word by mistake. All bits of an n-gram lie in one line of ``LINE`` bits, and the lines of a range of hashes are one block, so
-tasks build blocks from the counts they hold. Half of the bits are set, whatever the size of the corpus: nothing is left out when it grows.
+meets few words by mistake, which the model allows for. All bits of an n-gram lie in one line of ``LINE`` bits, and the lines of a range of hashes are one block, so
+tasks build blocks from the counts they hold. A probe compares six bits of one word. About half of the bits are set, whatever the size of the corpus: nothing is left out when it grows.
 
 With P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), p(w | v) = (c(v w) + mu P(w)) / (c(v) + mu + F): what follows v adds up to c(v), and F is what
 mistakes add to it over the vocabulary (from the bits that are set), so the probabilities add up to 1. mu is such that the unigram part
@@ -33,6 +33,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import ceil, log
 
 import numpy as np
@@ -45,9 +46,10 @@ from plainweave.llm.common import stored
 from plainweave.llm.ragged import LOWER, chunks, mix, padded, split_words, xxh64
 from plainweave.tables import discard
 
-LINE, DIGITS, LEVELS, OFFSETS = 4096, 3, 48, 5
-#: Probes of levels above 1 and of digits, by kind of n-gram (unigrams, bigrams).
-PROBES = (16, 8)
+LINE, DIGITS, LEVELS = 4096, 3, 48
+WORDS, BITS, MASKS = LINE // 64, 6, 4096
+#: Probes of levels above 1 and of digits, by kind of n-gram (unigrams, bigrams). A probe is of BITS bits in a word of 64.
+PROBES = (3, 2)
 END = np.uint64(0x9E3779B97F4A7C15)
 _BIGRAM = np.uint64(0xD1B54A32D192ED03)
 _HELD_ROWS = 3_000_000
@@ -78,8 +80,18 @@ def bigram(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(before ^ _BIGRAM, h)
 
 
+@lru_cache(1)
+def _masks() -> np.ndarray:
+    """MASKS words of BITS bits each, by a rule: the first different ones that the number's hashes name."""
+    out = np.zeros(MASKS, np.uint64)
+    for step in range(40):
+        place = mix(np.arange(MASKS, dtype=np.uint64), np.uint64(step)) & np.uint64(63)
+        out |= np.where(np.bitwise_count(out) < BITS, np.uint64(1) << place, np.uint64(0))
+    return out
+
+
 class LogFrequencyFilter:
-    """The bits of some blocks, from ``first_block`` on. ``first_probes``: those of level 1."""
+    """The words of some blocks, from ``first_block`` on. ``first_probes``: those of level 1."""
 
     def __init__(self, bits: np.ndarray, blocks: int, lines: int, first_probes: int, first_block: int = 0):
         self.bits, self.blocks, self.lines, self.first_probes, self.first_block = bits, blocks, lines, first_probes, first_block
@@ -90,42 +102,38 @@ class LogFrequencyFilter:
         return (h >> np.uint64(65 - blocks.bit_length())).astype(np.int64)
 
     def base(self, h: np.ndarray) -> np.ndarray:
-        """The first bit of each n-gram's line."""
+        """The first word of each n-gram's line."""
         inner = (h << np.uint64(self.blocks.bit_length() - 1)) >> np.uint64(32)
         line = (inner * np.uint64(self.lines) >> np.uint64(32)).astype(np.int64)
-        return ((self.block(h, self.blocks) - self.first_block) * self.lines + line) * LINE
+        return ((self.block(h, self.blocks) - self.first_block) * self.lines + line) * WORDS
 
     @staticmethod
-    def places(h: np.ndarray, tag: int, probes: int) -> Iterator[np.ndarray]:
-        """The bit of each probe within the line."""
-        for j in range(probes):
-            if j % OFFSETS == 0:
-                g = mix(h, np.uint64(tag * 64 + j // OFFSETS))
-            yield (g >> np.uint64(12 * (j % OFFSETS)) & np.uint64(LINE - 1)).astype(np.int64)
+    def places(h: np.ndarray, tag: int, probe: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each n-gram, the word within the line and the bits in it that a probe asks for."""
+        g = mix(h, np.uint64(tag * 64 + probe // 3)) >> np.uint64(18 * (probe % 3))
+        return (g & np.uint64(WORDS - 1)).astype(np.int64), _masks()[(g >> np.uint64(6) & np.uint64(MASKS - 1)).astype(np.int64)]
 
     def probes(self, tag: int, kind: int) -> int:
         return self.first_probes if tag == 1 else PROBES[kind]
 
+    def put(self, h: np.ndarray, tag: int, kind: int) -> None:
+        base = self.base(h)
+        for probe in range(self.probes(tag, kind)):
+            word, mask = self.places(h, tag, probe)
+            np.bitwise_or.at(self.bits, base + word, mask)
+
     def holds(self, h: np.ndarray, base: np.ndarray, tag: int, kind: int) -> np.ndarray:
         """The places of those n-grams that have all bits of an entry."""
         at = np.arange(len(h))
-        for j, place in enumerate(self.places(h, tag, self.probes(tag, kind))):
-            bit = base[at] + (place[at] if len(at) < len(h) else place)
-            at = at[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
+        for probe in range(self.probes(tag, kind)):
+            word, mask = self.places(h, tag, probe)
+            ok = self.bits[base + word] & mask == mask
+            if not ok.all():
+                at, h, base = at[ok], h[ok], base[ok]
             if not len(at):
                 break
-            if j % OFFSETS == OFFSETS - 1 and len(at) < len(h) // 2:
-                return at[self._rest(h[at], base[at], tag, kind, j + 1)]
         return at
 
-    def _rest(self, h: np.ndarray, base: np.ndarray, tag: int, kind: int, done: int) -> np.ndarray:
-        ok = np.ones(len(h), bool)
-        for j, place in enumerate(self.places(h, tag, self.probes(tag, kind))):
-            if j >= done:
-                bit = base + place
-                ok &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-        return ok
-
     def counts(self, h: np.ndarray, kind: int) -> np.ndarray:
         """The counts of some n-grams, as the filter has them."""
         base, level = self.base(h), np.zeros(len(h), np.int64)
@@ -203,7 +211,7 @@ def block_count(partitions: int) -> int:
 
 
 def count(docs: DataFrame, partitions: int) -> DataFrame:
-    """(block, kind, h, c): exact counts of the training documents' unigrams (kind 0) and bigrams (kind 1), block by block."""
+    """(block, kind, h, c): exact counts of the training documents' unigrams (kind 0) and bigrams (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
@@ -233,12 +241,12 @@ def count(docs: DataFrame, partitions: int) -> DataFrame:
     block = F.shiftrightunsigned("h", 65 - block_count(partitions).bit_length()).cast("int").alias("block")
     # One shuffle, by block: the sums need no further one, and the stored files hold whole blocks.
     summed = parts.select(block, "kind", "h", "c").repartition(partitions, "block").groupBy("block", "kind", "h").agg(F.sum("c").alias("c"))
-    return stored(summed.sortWithinPartitions("block", "kind"), "counts")
+    return stored(summed, "counts")
 
 
 def first_probes(distinct: int) -> int:
-    """So many that a context meets an eighth of a word by mistake over the vocabulary, if half of the bits are set in every line."""
-    return max(8, ceil(np.log2(8 * max(1, distinct))))
+    """So many that a context meets few words by mistake over the vocabulary: a probe of six bits in a word half full finds them by chance once in 20 to 36 times."""
+    return max(2, ceil(log(2 * max(1, distinct)) / log(36)))
 
 
 def _probes(probes: int) -> Column:
@@ -246,7 +254,7 @@ def _probes(probes: int) -> Column:
     level = F.floor(F.log2("c")).cast("int")
     drop = F.when(F.col("kind") == 1, F.greatest(level - DIGITS, F.lit(0))).otherwise(F.lit(0))
     digits = F.bit_count(F.call_function("shiftright", F.col("c"), drop)) - 1
-    return F.lit(probes) + (level + digits) * F.when(F.col("kind") == 1, PROBES[1]).otherwise(PROBES[0])
+    return BITS * (F.lit(probes) + (level + digits) * F.when(F.col("kind") == 1, PROBES[1]).otherwise(PROBES[0]))
 
 
 def build(counts: DataFrame, blocks: int, probes: int) -> tuple[DataFrame, int]:
@@ -255,31 +263,28 @@ def build(counts: DataFrame, blocks: int, probes: int) -> tuple[DataFrame, int]:
     lines = max(1, ceil(wanted / log(2) / (blocks * LINE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(k: int, bits: np.ndarray) -> pa.RecordBatch:
-            fill = bits.reshape(lines, LINE).mean(axis=1)
-            packed = np.packbits(bits, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary()), pa.array([float((fill**probes).sum())])], names=["block", "bits", "mistakes"])
+        def out(made: LogFrequencyFilter) -> pa.RecordBatch:
+            # Of each word, how many of the masks would be found in it, on average over a share of them; a probe meets any word of its line.
+            some = _masks()[:64, None, None]
+            chance = (made.bits.reshape(1, lines, WORDS) & some == some).mean(axis=(0, 2))
+            return pa.RecordBatch.from_arrays([pa.array([made.first_block], pa.int32()), pa.array([made.bits.tobytes()], pa.binary()), pa.array([float((chance**probes).sum())])], names=["block", "bits", "mistakes"])
 
-        now, bits = -1, np.zeros(0, bool)
+        now = None
         for batch in batches:
             block, kind, h, c = (batch.column(k).to_numpy() for k in range(4))
             key = block.astype(np.int64) * 2 + kind
             for idx in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
                 if not len(idx):
                     continue
-                k, of = int(block[idx[0]]), int(kind[idx[0]])
-                if k != now:
-                    if now >= 0:
-                        yield out(now, bits)
-                    now, bits = k, np.zeros(lines * LINE, bool)
-                made = LogFrequencyFilter(bits, blocks, lines, probes, k)
-                grams = h[idx].view(np.uint64)
-                base = made.base(grams)
+                k, of, grams = int(block[idx[0]]), int(kind[idx[0]]), h[idx].view(np.uint64)
+                if now is None or k != now.first_block:
+                    if now is not None:
+                        yield out(now)
+                    now = LogFrequencyFilter(np.zeros(lines * WORDS, np.uint64), blocks, lines, probes, k)
                 for tag, at in _entries(c[idx], of):
-                    for place in made.places(grams[at], tag, made.probes(tag, of)):
-                        bits[base[at] + place] = True
-        if now >= 0:
-            yield out(now, bits)
+                    now.put(grams[at], tag, of)
+        if now is not None:
+            yield out(now)
 
     made = counts.select("block", "kind", "h", "c").sortWithinPartitions("block", "kind").mapInArrow(run, "block int, bits binary, mistakes double")
     return stored(made, "filter"), lines
@@ -288,9 +293,9 @@ def build(counts: DataFrame, blocks: int, probes: int) -> tuple[DataFrame, int]:
 def sent(table: DataFrame, blocks: int, lines: int) -> str:
     """The filter's file, by the name that ``SparkFiles`` knows it by; the driver writes it block by block."""
     path = os.path.join(tempfile.mkdtemp(prefix="plainweave-"), f"plainweave-lm-{uuid.uuid4().hex}")
-    out = np.memmap(path, np.uint8, "w+", shape=(blocks, lines * LINE // 8))
+    out = np.memmap(path, np.uint64, "w+", shape=(blocks, lines * WORDS))
     for row in table.select("block", "bits").toLocalIterator(prefetchPartitions=True):
-        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint64)
     out.flush()
     del out
     table.sparkSession.sparkContext.addFile(path)
@@ -298,8 +303,8 @@ def sent(table: DataFrame, blocks: int, lines: int) -> str:
 
 
 def mapped(name: str) -> np.ndarray:
-    """The bytes of a file that ``sent`` has made."""
-    return np.memmap(SparkFiles.get(name), np.uint8, "r").view(np.ndarray)
+    """The words of a file that ``sent`` has made."""
+    return np.memmap(SparkFiles.get(name), np.uint64, "r").view(np.ndarray)
 
 
 def good_turing(counts: DataFrame) -> float:
@@ -326,16 +331,22 @@ def _scores(numbers: Numbers, known: tuple[np.ndarray, np.ndarray], ids: pa.Arra
     found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
     base = np.zeros(len(h))
     base[found] = np.log10(numbers.unigram(c[at[found]]))
-    rare = ~found
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(text[rare], minlength=len(n)))]).astype(np.int32)
+    # The other tokens of each text, each once with how often it stands there.
+    h, of = h[~found], text[~found]
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    times = np.diff(np.flatnonzero(new), append=len(h))
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=len(n)))]).astype(np.int32)
     return pa.RecordBatch.from_arrays([
         pa.array(np.arange(row, row + len(n))), ids, pa.array([held_out(i) for i in ids.to_pylist()]), pa.array(n),
         pa.array(np.bincount(text[found], minlength=len(n))), pa.array(np.bincount(text, base, len(n))), pa.array(np.bincount(text, each, len(n))),
-        pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[rare].view(np.int64))),
-    ], names=["row", "doc_id", "held_out", "n_tokens", "n_common", "base_common", "score", "rare"])
+        pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int32))),
+    ], names=["row", "doc_id", "held_out", "n_tokens", "n_common", "base_common", "score", "rare", "times"])
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_common long, base_common double, score double, rare array<long>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_common long, base_common double, score double, rare array<long>, times array<int>"
 
 
 def _scored_by_file(docs: DataFrame, name: str, made: Callable[[np.ndarray], LogFrequencyFilter], numbers: Numbers, known) -> DataFrame:
@@ -377,7 +388,7 @@ def _scored_by_blocks(docs: DataFrame, table: DataFrame, blocks: int, made: Call
         for batch in batches:
             for chunk, kind, block, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if kind < 0:
-                    now = (block, made(np.frombuffer(body, np.uint8), block))
+                    now = (block, made(np.frombuffer(body, np.uint64), block))
                 else:
                     h = np.frombuffer(body, np.uint64)
                     found = now[1].counts(h, kind) if now and now[0] == block else np.zeros(len(h))
@@ -419,7 +430,7 @@ def _frequent(words: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def score(docs: DataFrame, common: int = 1 << 16, most_bytes: int = 1 << 32) -> DataFrame:
+def score(docs: DataFrame, common: int = 1 << 18, most_bytes: int = 1 << 32) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark: SparkSession = docs.sparkSession
     docs, partitions = docs.select("doc_id", "text"), int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -443,9 +454,9 @@ def score(docs: DataFrame, common: int = 1 << 16, most_bytes: int = 1 << 32) ->
         rows = _scored_by_blocks(docs, table, blocks, made, numbers, known, partitions)
     scored = stored(rows, "scored")
     one = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
-    rare = scored.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("n")).join(words, "h", "left")
+    rare = scored.select("row", F.inline(F.arrays_zip(F.col("rare").alias("h"), F.col("times").alias("n")))).join(words, "h", "left")
     sums = rare.groupBy("row").agg(F.sum(F.col("n") * one).alias("base_rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_rare"))
-    joined = scored.drop("rare").join(sums, "row", "left")
+    joined = scored.drop("rare", "times").join(sums, "row", "left")
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_common") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), "score",
