@@ -14,8 +14,8 @@ mistakes add to it over the vocabulary (from the bits that are set), so the prob
 has, over all training tokens, the mass that bigrams seen once have (Good-Turing). A word or context not in training
 is scored by P alone. ``score`` is the sum of log10 p over a text's tokens.
 
-A filter of at most ``most_bytes`` (4 GB) is sent: written to one file that each executor gets once (``SparkContext.addFile``) and its workers map rather
-than read. A larger one stays a table of blocks: each chunk of texts asks for its distinct n-grams, the asks are shuffled to their blocks and the answers back.
+A filter of at most ``most_bytes`` (512 MB, what a worker can be asked to hold) is broadcast. A larger one stays a table of blocks: each chunk of texts asks for its distinct
+n-grams, the asks are shuffled to their blocks and the answers back.
 Both ways read the same bits and give the same scores. What is shuffled grows with the texts, and no task holds more than a block or a chunk.
 
 ``base_score`` uses exact counts: those of the most frequent tokens (above a count that at most ``common`` tokens reach) are broadcast,
@@ -28,9 +28,6 @@ Columns other than doc_id and text are not read, whatever their names. Bits depe
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,7 +35,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles, TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,12 +238,14 @@ def count(docs: DataFrame, partitions: int) -> DataFrame:
     block = F.shiftrightunsigned("h", 65 - block_count(partitions).bit_length()).cast("int").alias("block")
     # One shuffle, by block: the sums need no further one, and the stored files hold whole blocks.
     summed = parts.select(block, "kind", "h", "c").repartition(partitions, "block").groupBy("block", "kind", "h").agg(F.sum("c").alias("c"))
-    return stored(summed, "counts")
+    out = stored(summed, "counts")
+    docs.sparkSession._jvm.System.gc()  # lets Spark remove the files of this shuffle, the largest one, now that it is a table
+    return out
 
 
 def first_probes(distinct: int) -> int:
     """So many that a context meets few words by mistake over the vocabulary: a probe of six bits in a word half full finds them by chance once in 20 to 36 times."""
-    return max(2, ceil(log(2 * max(1, distinct)) / log(36)))
+    return max(2, ceil(log(max(1, distinct) / 4) / log(30)))
 
 
 def _probes(probes: int) -> Column:
@@ -290,21 +289,12 @@ def build(counts: DataFrame, blocks: int, probes: int) -> tuple[DataFrame, int]:
     return stored(made, "filter"), lines
 
 
-def sent(table: DataFrame, blocks: int, lines: int) -> str:
-    """The filter's file, by the name that ``SparkFiles`` knows it by; the driver writes it block by block."""
-    path = os.path.join(tempfile.mkdtemp(prefix="plainweave-"), f"plainweave-lm-{uuid.uuid4().hex}")
-    out = np.memmap(path, np.uint64, "w+", shape=(blocks, lines * WORDS))
+def sent(table: DataFrame, blocks: int, lines: int) -> Broadcast:
+    """The filter's words for all workers, put together block by block."""
+    out = np.zeros((blocks, lines * WORDS), np.uint64)
     for row in table.select("block", "bits").toLocalIterator(prefetchPartitions=True):
         out[row["block"]] = np.frombuffer(row["bits"], np.uint64)
-    out.flush()
-    del out
-    table.sparkSession.sparkContext.addFile(path)
-    return os.path.basename(path)
-
-
-def mapped(name: str) -> np.ndarray:
-    """The words of a file that ``sent`` has made."""
-    return np.memmap(SparkFiles.get(name), np.uint64, "r").view(np.ndarray)
+    return table.sparkSession.sparkContext.broadcast(out.reshape(-1))
 
 
 def good_turing(counts: DataFrame) -> float:
@@ -349,9 +339,9 @@ def _scores(numbers: Numbers, known: tuple[np.ndarray, np.ndarray], ids: pa.Arra
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_common long, base_common double, score double, rare array<long>, times array<int>"
 
 
-def _scored_by_file(docs: DataFrame, name: str, made: Callable[[np.ndarray], LogFrequencyFilter], numbers: Numbers, known) -> DataFrame:
+def _scored_by_broadcast(docs: DataFrame, words: Broadcast, made: Callable[[np.ndarray], LogFrequencyFilter], numbers: Numbers, known) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, row = made(mapped(name)), TaskContext.get().partitionId() << 40
+        bits, row = made(words.value), TaskContext.get().partitionId() << 40
         for batch, data, offsets in chunks(batches):
             h, n = tokens(data, offsets)
             ask = Ask(h)
@@ -430,7 +420,7 @@ def _frequent(words: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def score(docs: DataFrame, common: int = 1 << 18, most_bytes: int = 1 << 32) -> DataFrame:
+def score(docs: DataFrame, common: int = 1 << 18, most_bytes: int = 1 << 29) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark: SparkSession = docs.sparkSession
     docs, partitions = docs.select("doc_id", "text"), int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -448,7 +438,7 @@ def score(docs: DataFrame, common: int = 1 << 18, most_bytes: int = 1 << 32) ->
         return LogFrequencyFilter(bits, blocks, lines, probes, block)
 
     if blocks * lines * LINE // 8 <= most_bytes:
-        rows = _scored_by_file(docs, sent(table, blocks, lines), made, numbers, known)
+        rows = _scored_by_broadcast(docs, sent(table, blocks, lines), made, numbers, known)
         discard(table)
     else:
         rows = _scored_by_blocks(docs, table, blocks, made, numbers, known, partitions)

@@ -90,7 +90,7 @@ def exact_mu(one, two):
 
 
 def test_scores_equal_those_of_exact_counts_both_ways(spark):
-    """Sent as a file, and asked for block by block: the same scores, and those of exact counts but for rare mistakes."""
+    """Broadcast, and asked for block by block: the same scores, and those of exact counts but for rare mistakes."""
     rows = texts()
     one, two, low = exact(rows)
     mu, total, distinct = exact_mu(one, two), sum(one.values()), len(one)
