@@ -14,7 +14,7 @@ mistakes add to it over the vocabulary (from the bits that are set), so the prob
 has, over all training tokens, the mass that bigrams seen once have (Good-Turing). A word or context not in training
 is scored by P alone. ``score`` is the sum of log10 p over a text's tokens.
 
-A filter of at most ``most_bytes`` (512 MB, what a worker can be asked to hold) is broadcast. A larger one stays a table of blocks: each chunk of texts asks for its distinct
+A filter of at most ``most_bytes`` (4 GB, what an executor's disk can be asked to hold) is sent to all workers as one file that they map. A larger one stays a table of blocks: each chunk of texts asks for its distinct
 n-grams, the asks are shuffled to their blocks and the answers back.
 Both ways read the same bits and give the same scores. What is shuffled grows with the texts, and no task holds more than a block or a chunk.
 
@@ -28,6 +28,8 @@ Columns other than doc_id and text are not read, whatever their names. Bits depe
 
 from __future__ import annotations
 
+import os
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -35,13 +37,13 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainweave.llm.common import stored
 from plainweave.llm.ragged import LOWER, chunks, mix, padded, split_words, xxh64
-from plainweave.tables import discard
+from plainweave.tables import discard, workspace
 
 LINE, DIGITS, LEVELS = 4096, 3, 48
 WORDS, BITS, MASKS = LINE // 64, 6, 4096
@@ -289,12 +291,28 @@ def build(counts: DataFrame, blocks: int, probes: int) -> tuple[DataFrame, int]:
     return stored(made, "filter"), lines
 
 
-def sent(table: DataFrame, blocks: int, lines: int) -> Broadcast:
-    """The filter's words for all workers, put together block by block."""
-    out = np.zeros((blocks, lines * WORDS), np.uint64)
+def sent(table: DataFrame, blocks: int, lines: int) -> str:
+    """The filter as one file, which the driver writes block by block and workers map (``mapped``): in the shared folder if that is
+    mounted as a file system, else sent to each executor once by ``SparkContext.addFile``."""
+    spark = table.sparkSession
+    folder, name = spark._jvm.org.apache.hadoop.fs.Path(workspace(spark)), f"plainweave-lm-{uuid.uuid4().hex}"
+    mounted = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+    path = os.path.join(folder.toUri().getPath() if mounted else SparkFiles.getRootDirectory(), name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    out = np.memmap(path, np.uint64, "w+", shape=(blocks, lines * WORDS))
     for row in table.select("block", "bits").toLocalIterator(prefetchPartitions=True):
         out[row["block"]] = np.frombuffer(row["bits"], np.uint64)
-    return table.sparkSession.sparkContext.broadcast(out.reshape(-1))
+    out.flush()
+    del out
+    if mounted:
+        return path
+    spark.sparkContext.addFile(path)
+    return name
+
+
+def mapped(name: str) -> np.ndarray:
+    """The words of a file that ``sent`` has made."""
+    return np.memmap(name if os.path.isabs(name) else SparkFiles.get(name), np.uint64, "r").view(np.ndarray)
 
 
 def good_turing(counts: DataFrame) -> float:
@@ -339,9 +357,9 @@ def _scores(numbers: Numbers, known: tuple[np.ndarray, np.ndarray], ids: pa.Arra
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_common long, base_common double, score double, rare array<long>, times array<int>"
 
 
-def _scored_by_broadcast(docs: DataFrame, words: Broadcast, made: Callable[[np.ndarray], LogFrequencyFilter], numbers: Numbers, known) -> DataFrame:
+def _scored_by_file(docs: DataFrame, name: str, made: Callable[[np.ndarray], LogFrequencyFilter], numbers: Numbers, known) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, row = made(words.value), TaskContext.get().partitionId() << 40
+        bits, row = made(mapped(name)), TaskContext.get().partitionId() << 40
         for batch, data, offsets in chunks(batches):
             h, n = tokens(data, offsets)
             ask = Ask(h)
@@ -420,7 +438,7 @@ def _frequent(words: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def score(docs: DataFrame, common: int = 1 << 18, most_bytes: int = 1 << 29) -> DataFrame:
+def score(docs: DataFrame, common: int = 1 << 18, most_bytes: int = 1 << 32) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark: SparkSession = docs.sparkSession
     docs, partitions = docs.select("doc_id", "text"), int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -438,7 +456,7 @@ def score(docs: DataFrame, common: int = 1 << 18, most_bytes: int = 1 << 29) ->
         return LogFrequencyFilter(bits, blocks, lines, probes, block)
 
     if blocks * lines * LINE // 8 <= most_bytes:
-        rows = _scored_by_broadcast(docs, sent(table, blocks, lines), made, numbers, known)
+        rows = _scored_by_file(docs, sent(table, blocks, lines), made, numbers, known)
         discard(table)
     else:
         rows = _scored_by_blocks(docs, table, blocks, made, numbers, known, partitions)
