@@ -18,6 +18,7 @@ from plainweave.functions.namespaces import NAMESPACES, ROOT, Namespaces, in_nam
 from plainweave.operators.ontology import ancestors
 from plainweave.tables import stored
 
+#: Names of the features, in the order of the output. Fixed values.
 FEATURES = [
     "nbWord", "nbConcepts", "nbUniqueConcepts", "conceptsWordsRatio", "uniqueConceptsWordsRatio", "nbNodes", "radius", "diameter", "assortativity", "density",
     "textDensityMean", "textDensityStd", "nbTypesMean", "nbTypesStd", "nbLinkInMean", "nbLinkInStd", "nbLinkOutMean", "nbLinkOutStd",
@@ -97,7 +98,8 @@ def counts(nodes: DataFrame, links: DataFrame, namespaces: Namespaces = NAMESPAC
     if_resource = lambda c: F.when(resource, F.col(c))
     stats = []
     for column, name in (("nbTypes", "nbTypes"), ("nbLinksIn", "nbLinkIn"), ("nbLinksOut", "nbLinkOut")):
-        stats += [F.avg(if_resource(column)).alias(f"{name}Mean"), F.stddev_pop(if_resource(column)).alias(f"{name}Std")]
+        mean, deviation = exact_mean_and_deviation(if_resource(column))
+        stats += [mean.alias(f"{name}Mean"), deviation.alias(f"{name}Std")]
     by_node = nodes.groupBy(key).agg(
         F.coalesce(F.sum(if_resource("count")), F.lit(0)).cast("long").alias("nbConcepts"), F.count_if(resource).alias("nbUniqueConcepts"), F.count("*").alias("nbNodes"),
         F.max(if_resource("offset")).alias("maxOffset"), *stats, *[F.count_if(c).alias(f"nbNodes_{k}") for k, c in member.items()],
@@ -112,36 +114,50 @@ def counts(nodes: DataFrame, links: DataFrame, namespaces: Namespaces = NAMESPAC
     return out.withColumns({f"density_{k}": density(F.col(f"nbNodes_{k}"), F.coalesce(f"nbEdges_{k}", zero)) for k in member})
 
 
+def exact_mean_and_deviation(x: Column) -> tuple[Column, Column]:
+    """Mean and population deviation of whole numbers from whole sums, so that they don't depend on the order of the rows."""
+    wide = x.cast("decimal(19,0)")
+    n, total, squares = F.count(x), F.sum(wide), F.sum((wide * wide).cast("decimal(38,0)"))
+    under = n.cast("double")
+    spread = (n.cast("decimal(19,0)") * squares - total * total).cast("double")
+    return F.try_divide(total.cast("double"), under), F.try_divide(F.sqrt(spread), under)
+
+
 def assortativity(links: DataFrame, key: str = "filename") -> DataFrame:
-    """(key, assortativity): Pearson's correlation of the degrees at both ends of all edges; null if all degrees are equal."""
+    """(key, assortativity): Pearson's correlation of the degrees at both ends of all edges; null if all degrees are equal.
+
+    Both ends have the same degrees in all, so that three whole sums give it, whatever the order of the rows.
+    """
     both = links.select(key, "src", "dst").unionByName(links.select(key, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    degrees = both.groupBy(key, "src").agg(F.count("*").cast("double").alias("degree"))
+    degrees = both.groupBy(key, "src").agg(F.count("*").alias("degree"))
     ends = both.join(degrees, [key, "src"]).join(degrees.withColumnsRenamed({"src": "dst", "degree": "other"}), [key, "dst"])
-    spread = F.stddev_pop("degree") * F.stddev_pop("other")
-    return ends.groupBy(key).agg(F.when(spread > 0, F.try_divide(F.covar_pop("degree", "other"), spread)).alias("assortativity"))
+    whole = lambda x: x.cast("decimal(38,0)")
+    x, y = F.col("degree").cast("decimal(19,0)"), F.col("other").cast("decimal(19,0)")
+    sums = ends.groupBy(key).agg(F.count("*").cast("decimal(19,0)").alias("n"), F.sum(F.col("degree")).cast("decimal(19,0)").alias("x"), whole(F.sum(whole(x * x))).alias("xx"), whole(F.sum(whole(x * y))).alias("xy"))
+    over, under = F.col("n") * F.col("xy") - F.col("x") * F.col("x"), F.col("n") * F.col("xx") - F.col("x") * F.col("x")
+    return sums.select(key, F.when(under > 0, over.cast("double") / under.cast("double")).alias("assortativity"))
 
 
-def distances(links: DataFrame, key: str = "filename", most_rounds: int = 10_000) -> DataFrame:
-    """(key, src, dst, d): the length of a shortest path between all nodes of a graph, both ways, and 0 to itself.
+def distances(links: DataFrame, key: str = "filename") -> DataFrame:
+    """(key, src, dst, d): the length of a shortest path between all nodes of a graph that have one, both ways, and 0 to itself.
 
-    All sources of all graphs go on one step a round. A node whose distance is known isn't entered again. For features alone
+    All sources of all graphs go on one step a round, until no node is new. A node whose distance is known isn't entered again. For features alone
     ``path_features`` is cheaper: it emits no pairs.
     """
     both = stored(links.select(key, "src", "dst").unionByName(links.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"))), "steps")
     frontier = stored(both.select(key, "src", F.col("src").alias("dst")).distinct().withColumn("d", F.lit(0)), "distances")
-    seen = frontier
+    seen, d = frontier, 0
     step = both.select(key, F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for d in range(1, most_rounds):
+    while not frontier.isEmpty():
+        d += 1
         further = frontier.join(step, [key, "dst"]).select(key, "src", F.col("next").alias("dst")).distinct()
         frontier = stored(further.join(seen, [key, "src", "dst"], "left_anti").withColumn("d", F.lit(d)), "distances")
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
     return seen
 
 
 def radius_diameter(paths: DataFrame, key: str = "filename") -> DataFrame:
-    """(key, radius, diameter) from ``distances``."""
+    """(key, radius, diameter) from ``distances``; nodes without a path between them don't count."""
     far = paths.groupBy(key, "src").agg(F.max("d").alias("far"))
     return far.groupBy(key).agg(F.min("far").cast("long").alias("radius"), F.max("far").cast("long").alias("diameter"))
 
@@ -150,7 +166,7 @@ def text_density(paths: DataFrame, nodes: DataFrame, lengths: DataFrame, key: st
     """(key, textDensityMean, textDensityStd) over all pairs of resources.
 
     A pair's density is (gap of offsets / length)^2 * sqrt(distance / diameter); the length is the number of words
-    (``lengths``: key, nbWord), or the largest offset if that is null. Fewer than two resources give null.
+    (``lengths``: key, nbWord), or the largest offset if that is null. Pairs without a path between them are left out; without any pair it is null.
     """
     ends = nodes.filter("resource").select(key, "id", "offset")
     longest = ends.groupBy(key).agg(F.max("offset").alias("maxOffset"))
@@ -164,7 +180,10 @@ def text_density(paths: DataFrame, nodes: DataFrame, lengths: DataFrame, key: st
 
 
 def _paths_of(n: int, src: np.ndarray, dst: np.ndarray, at: np.ndarray, offsets: np.ndarray, size: float) -> tuple[int, int, float | None, float | None]:
-    """Radius, diameter, and mean and deviation of the pair densities of one graph, by breadth-first search from blocks of nodes."""
+    """Radius, diameter, and mean and deviation of the pair densities of one graph, by breadth-first search from blocks of nodes.
+
+    Pairs are summed as their block is searched, so a graph needs 256 distances a node. Nodes and pairs without a path between them don't count.
+    """
     to = np.concatenate([dst, src])
     order = np.argsort(np.concatenate([src, dst]), kind="stable")
     to = to[order]
@@ -172,9 +191,11 @@ def _paths_of(n: int, src: np.ndarray, dst: np.ndarray, at: np.ndarray, offsets:
     begin = np.cumsum(degree) - degree
     some = np.flatnonzero(degree)
     reach = np.zeros(n, np.int64)
-    near = np.zeros((len(at), n), np.int16)
+    known = bool(size) and not np.isnan(size)
     place = np.full(n, -1)
     place[at] = np.arange(len(at))
+    total = squares = 0.0
+    pairs = 0
     for lo in range(0, n, 256):
         rows = np.arange(lo, min(n, lo + 256))
         dist = np.full((n, len(rows)), -1, np.int16)
@@ -188,20 +209,19 @@ def _paths_of(n: int, src: np.ndarray, dst: np.ndarray, at: np.ndarray, offsets:
             front = entered & (dist < 0)
             dist[front] = d
         reach[rows] = dist.max(axis=0)
-        mine = place[rows] >= 0
-        near[place[rows[mine]]] = dist[:, mine].T
+        for column in np.flatnonzero(place[rows] >= 0) if known else ():
+            i = place[rows[column]]
+            further = dist[at[i + 1 :], column].astype(float)
+            met = further >= 0
+            gap = ((offsets[i + 1 :] - offsets[i]) / size)[met] ** 2
+            total += (gap * np.sqrt(further[met])).sum()
+            squares += (gap * gap * further[met]).sum()
+            pairs += int(met.sum())
     radius, diameter = int(reach.min()), int(reach.max())
-    if len(at) < 2 or not size or np.isnan(size):
+    if not pairs:
         return radius, diameter, None, None
-    total = squares = 0.0
-    for i in range(len(at) - 1):
-        d = near[i, at[i + 1 :]].astype(float)
-        value = ((offsets[i + 1 :] - offsets[i]) / size) ** 2 * np.sqrt(d / max(diameter, 1))
-        total += value.sum()
-        squares += (value * value).sum()
-    pairs = len(at) * (len(at) - 1) / 2
-    mean = total / pairs
-    return radius, diameter, mean, float(np.sqrt(max(0.0, squares / pairs - mean * mean)))
+    mean = total / pairs / np.sqrt(max(diameter, 1))
+    return radius, diameter, mean, float(np.sqrt(max(0.0, squares / pairs / max(diameter, 1) - mean * mean)))
 
 
 def path_features(nodes: DataFrame, links: DataFrame, lengths: DataFrame, key: str = "filename") -> DataFrame:

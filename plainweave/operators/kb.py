@@ -21,28 +21,31 @@ def distinct_uris(mentions: DataFrame) -> DataFrame:
 
 def entity_types(triples: DataFrame, uris: DataFrame | None = None) -> DataFrame:
     """A2, PF16, PF26: (uri, types), the sorted set of the IRIs that an entity has as types."""
-    typed = triples.filter((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri")).select(F.col("s").alias("uri"), "o")
-    return among(typed, "uri", uris).groupBy("uri").agg(F.array_sort(F.collect_set("o")).alias("types"))
+    typed = triples.filter((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri")).select(F.col("s").alias("uri"), "o").distinct()
+    return among(typed.groupBy("uri").agg(F.array_sort(F.collect_list("o")).alias("types")), "uri", uris)
 
 
 def links_in(triples: DataFrame, uris: DataFrame | None = None) -> DataFrame:
     """A3: (uri, nb_links_in), over all predicates and repeated statements."""
     ends = triples.filter(F.col("o_kind") != "literal").select(F.col("o").alias("uri"))
-    return among(ends, "uri", uris).groupBy("uri").agg(F.count("*").alias("nb_links_in"))
+    return among(ends.groupBy("uri").agg(F.count("*").alias("nb_links_in")), "uri", uris)
 
 
 def links_out(triples: DataFrame, uris: DataFrame | None = None) -> DataFrame:
     """A4: (uri, nb_links_out), over all predicates and kinds of object."""
-    return among(triples.select(F.col("s").alias("uri")), "uri", uris).groupBy("uri").agg(F.count("*").alias("nb_links_out"))
+    return among(triples.groupBy(F.col("s").alias("uri")).agg(F.count("*").alias("nb_links_out")), "uri", uris)
 
 
 def concept_info(uris: DataFrame, triples: DataFrame) -> DataFrame:
     """(uri, types, nb_links_in, nb_links_out) for each of ``uris``; no type is an empty array, no link 0.
 
-    Aggregates come before the joins, so a hub's triples are summed in their tasks first.
+    Both link counts come from one pass over the triples and one shuffle of sums by URI; a hub's triples are summed in their tasks,
+    and only one row of a URI is joined.
     """
-    wanted = distinct_uris(uris)
-    out = wanted.join(entity_types(triples, wanted), "uri", "left").join(links_in(triples, wanted), "uri", "left").join(links_out(triples, wanted), "uri", "left")
+    ends = F.array(F.struct(F.col("s").alias("uri"), F.lit(False).alias("incoming")), F.when(F.col("o_kind") != "literal", F.struct(F.col("o").alias("uri"), F.lit(True).alias("incoming"))))
+    each = triples.select(F.explode(ends).alias("e")).filter("e IS NOT NULL").select("e.uri", "e.incoming")
+    links = each.groupBy("uri").agg(F.count_if("incoming").alias("nb_links_in"), F.count_if(~F.col("incoming")).alias("nb_links_out"))
+    out = distinct_uris(uris).join(links, "uri", "left").join(entity_types(triples), "uri", "left")
     zero = F.lit(0).cast("long")
     return out.select("uri", F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.coalesce("nb_links_in", zero).alias("nb_links_in"), F.coalesce("nb_links_out", zero).alias("nb_links_out"))
 

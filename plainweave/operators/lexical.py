@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plainweave.tables import stored
+
+#: Lists of more words are not sent to all tasks.
+MOST_SENT = 200_000
+
 #: ASCII punctuation. A tag that is a part of this string marks no word. Fixed value.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Verbs that are no lexical words. Fixed values.
 PLAIN_VERBS = ("be", "have")
 
+#: Names of the features, in the order of the output. Fixed values.
 FEATURES = [
     "sentences", "wordtypes", "swordtypes", "lextypes", "slextypes", "wordtokens", "swordtokens", "lextokens", "slextokens", "ld", "ls1", "ls2", "vs1", "vs2", "cvs1",
     "ndw", "ndwz", "ndwerz", "ndwesz", "ttr", "msttr", "cttr", "rttr", "logttr", "uber", "lv", "vv1", "svv1", "cvv1", "vv2", "nv", "adjv", "advv", "modv",
@@ -40,30 +46,44 @@ def is_word(pos: Column) -> Column:
 def word_ranks(word_list: DataFrame, limit: int = 2000) -> DataFrame:
     """(lemma, rnk): the ``limit`` most frequent words, the later one in the alphabet first among equals; 0 means all.
 
-    Only ``limit`` rows of each task meet, so nothing is sorted in one place but those.
+    With a limit, only so many rows of each task meet. Without, the words are sorted by range, and a word's rank is its place in its range and the sizes of the ranges before.
     """
-    ordered = word_list.select("lemma", "freq").orderBy(F.desc("freq"), F.desc("lemma"))
-    best = ordered.limit(limit) if limit else ordered
-    return best.select("lemma", F.row_number().over(Window.orderBy(F.desc("freq"), F.desc("lemma"))).alias("rnk"))
+    order = [F.desc("freq"), F.desc("lemma")]
+    if limit:
+        return word_list.select("lemma", "freq").orderBy(*order).limit(limit).select("lemma", F.row_number().over(Window.orderBy(*order)).alias("rnk"))
+    ranges = stored(word_list.select("lemma", "freq").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    placed = ranges.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return placed.join(F.broadcast(starts), "part").select("lemma", (F.col("start") + F.col("k")).cast("int").alias("rnk"))
+
+
+def _listed(rows: DataFrame, words: DataFrame, column: str, name: str, n: int, hot: DataFrame) -> DataFrame:
+    """``rows`` with whether ``column`` is one of the n stored ``words`` (w). A long list is shuffled with the rows, but for those of ``hot`` words (w), which are looked up where they are."""
+    flagged = lambda t: t.select(F.col("w").alias(column), F.lit(True).alias(name))
+    if n <= MOST_SENT:
+        out = rows.join(F.broadcast(flagged(words)), column, "left")
+    else:
+        few, known = F.broadcast(hot.select(F.col("w").alias(column))), F.broadcast(flagged(words.join(F.broadcast(hot), "w", "left_semi")))
+        out = rows.join(few, column, "left_semi").join(known, column, "left").unionByName(rows.join(few, column, "left_anti").join(flagged(words), column, "left"))
+    return out.withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def classified(tagged: DataFrame, word_list: DataFrame, key: str = "filename", rank_limit: int = 2000) -> DataFrame:
     """The word tokens with a number (``rn``, from 1) and flags is_<class>.
 
-    ``word_list``: lemma, freq, is_adj. The frequent words are at most ``rank_limit``, so their table is small by construction; the adjectives are joined by word.
+    ``word_list``: lemma, freq, is_adj. The words that it counts most often are looked up where their tokens are, so no common word is one task's.
     """
     lines = tagged.filter(is_line(F.concat_ws("_", "word", "pos")))
     rows = lines.filter(is_word(F.col("pos")))
-    frequent = word_ranks(word_list, rank_limit).select(F.col("lemma").alias("word"), F.lit(True).alias("frequent"))
-    adjectives = word_list.filter("is_adj").select("lemma").distinct()
+    frequent = stored(word_ranks(word_list, rank_limit).select(F.col("lemma").alias("w")), "frequent")
+    hot = word_ranks(word_list, min(rank_limit or 2000, 2000)).select(F.col("lemma").alias("w"))
+    adjectives = stored(word_list.filter("is_adj").select(F.col("lemma").alias("w")).distinct(), "adjectives")
+    n = adjectives.count()
     stem = F.when(F.right("word", F.lit(2)) == "ly", F.expr("left(word, length(word) - 2)"))
-    # The word list is joined to the vocabulary, not to the tokens.
-    vocabulary = rows.select("word").distinct()
-    vocabulary = vocabulary.join(F.broadcast(frequent) if rank_limit else frequent, "word", "left")
-    vocabulary = vocabulary.join(adjectives.select(F.col("lemma").alias("word"), F.lit(True).alias("adj1")), "word", "left")
-    vocabulary = vocabulary.withColumn("stem", stem).join(adjectives.select(F.col("lemma").alias("stem"), F.lit(True).alias("adj2")), "stem", "left")
-    vocabulary = vocabulary.select("word", F.coalesce("frequent", F.lit(False)).alias("frequent"), (F.coalesce("adj1", F.lit(False)) | F.coalesce("adj2", F.lit(False))).alias("adjective"))
-    rows = rows.join(vocabulary, "word")
+    rows = _listed(rows.withColumn("stem", stem), frequent, "word", "frequent", frequent.count(), hot)
+    rows = _listed(_listed(rows, adjectives, "word", "adj1", n, hot), adjectives, "stem", "adj2", n, hot)
+    rows = rows.withColumn("adjective", F.col("adj1") | F.col("adj2"))
     first = F.left("pos", F.lit(1))
     noun, adj, adv = first == "n", first == "j", (first == "r") & F.col("adjective")
     verb = (first == "v") & ~F.col("word").isin(*PLAIN_VERBS)

@@ -25,21 +25,19 @@ def parents(classes: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return classes.select("cls").distinct().join(taxonomy, "cls", "left").select("cls", F.coalesce("parent", F.lit(ROOT)).alias("parent"))
 
 
-def ancestors(classes: DataFrame, taxonomy: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def ancestors(classes: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(cls, child, parent), all edges on the ways from a class up to the root.
 
-    A fixpoint by rounds of joins: each class goes on from nodes it has not seen only, so cycles and
+    A fixpoint by rounds of joins, as many as the taxonomy is deep: each class goes on from nodes it has not seen only, so cycles and
     diamonds end. A round is a table in the shared folder.
     """
     starts = classes.select("cls").filter(F.col("cls") != ROOT).distinct()
     frontier = stored(starts.select("cls", F.col("cls").alias("node")), "frontier")
     seen = frontier
     up = taxonomy.select(F.col("cls").alias("node"), "parent")
-    for _ in range(most_rounds):
+    while not frontier.isEmpty():
         further = frontier.join(up, "node").select("cls", F.col("parent").alias("node")).distinct()
         frontier = stored(further.join(seen, ["cls", "node"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
     edges = seen.join(up, "node", "left")
     return edges.select("cls", F.col("node").alias("child"), F.coalesce("parent", F.lit(ROOT)).alias("parent"))

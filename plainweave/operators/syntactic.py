@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Names of the counts and ratios, in the order of the output. Fixed values.
 COUNTS = ["W", "S", "VP", "C", "T", "DC", "CT", "CP", "CN"]
 RATIOS = {
     "MLS": ("W", "S"), "MLT": ("W", "T"), "MLC": ("W", "C"), "C/S": ("C", "S"), "VP/T": ("VP", "T"), "C/T": ("C", "T"), "DC/C": ("DC", "C"), "DC/T": ("DC", "T"),
