@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,8 @@ from plainweave.functions import text as tx
 from plainweave.operators import graphs, kb, lexical, ontology, syntactic
 from plainweave.operators import mentions as mn
 from plainweave.plans import standins as st
-from plainweave.tables import stored
+from plainweave.sources import files, rdf
+from plainweave.tables import stored, workspace
 
 KEY = "doc_id"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +29,7 @@ def _concepts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     """(resources, edges, vertices, lengths) of the stand-in graphs."""
     rows = stored(st.mentions(spark, sf_dir), "mentions")
     counts = mn.mention_counts(rows, KEY)
-    info = kb.concept_info(rows, stored(st.triples(spark, sf_dir), "triples"))
+    info = kb.concept_info(rows, st.triples(spark, sf_dir, rows))
     found = stored(graphs.resources(counts, info, KEY), "resources")
     links = stored(graphs.edges(found, st.taxonomy(spark), key=KEY), "edges")
     nodes = stored(graphs.vertices(found, links, KEY), "vertices")
@@ -35,9 +37,8 @@ def _concepts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, nbWord): English documents with the Treebank tokens of their paragraphs."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter((F.col("lang") == "en") & (F.length("text") > tx.PARAGRAPH_THRESHOLD))
-    return docs.select(KEY, tx.nb_words(tx.paragraphs(F.col("text"))).alias("nbWord"))
+    """(doc_id, nbWord): all documents with the Treebank tokens of their paragraphs."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(KEY, tx.nb_words(tx.paragraphs(F.col("text"))).alias("nbWord"))
 
 
 def pf_clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +48,9 @@ def pf_clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pf_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship of the first slice: paragraphs and Treebank words of each document."""
-    parts = tx.paragraphs(F.col("text"))
-    return st.clean_docs(spark, sf_dir).select(KEY, F.size(parts).cast("long").alias("n_paragraphs"), tx.nb_words(parts).alias("nb_words"))
+    docs = st.clean_docs(spark, sf_dir).select(KEY, tx.paragraphs(F.col("text")).alias("parts"))
+    parts = F.col("parts")
+    return docs.select(KEY, F.size(parts).cast("long").alias("n_paragraphs"), tx.nb_words(parts).alias("nb_words"))
 
 
 def w_paragraph_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,8 @@ def a_number_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j_concept_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    info = kb.concept_info(st.mentions(spark, sf_dir), st.triples(spark, sf_dir))
+    rows = stored(st.mentions(spark, sf_dir), "mentions")
+    info = kb.concept_info(rows, st.triples(spark, sf_dir, rows))
     return info.select("uri", F.array_join("types", "|").alias("types"), "nb_links_in", "nb_links_out")
 
 
@@ -155,7 +158,7 @@ def g_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_semantic_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 24 features of each English document's concept graph."""
+    """The 24 features of each document's concept graph."""
     _, links, nodes, lengths = _concepts(spark, sf_dir)
     return _rounded(graphs.semantic_vectors(nodes, links, lengths, key=KEY))
 
@@ -197,10 +200,156 @@ def y_syntactic_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(syntactic.syntactic_vectors(st.trees(spark), KEY))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{workspace(spark)}/plainweave-{name}-{uuid.uuid4().hex}"
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """With the documents' ids as names of files, and back (``_numbered``)."""
+    return df.withColumn(KEY, F.col(KEY).cast("string")).withColumnRenamed(KEY, "filename")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("filename", KEY).withColumn(KEY, F.col(KEY).cast("long"))
+
+
 def sk_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without a label, as if the labels were the outputs that are there already."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(KEY)
-    return docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select(KEY).distinct(), KEY, "left_anti")
+    """Documents without a label: the labels are written as outputs, and the documents skipped by what is there."""
+    folder = _folder(spark, "done")
+    _named(spark.read.parquet(f"{sf_dir}/labels.parquet").select(KEY).filter(F.col(KEY).isNotNull())).write.json(folder)
+    return _numbered(files.skip_existing(_named(spark.read.parquet(f"{sf_dir}/documents.parquet").select(KEY)), folder))
+
+
+def sc_concepts_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions written as concepts and read again."""
+    scores = F.struct(F.col("offset").cast("int").alias("offset"), F.lit("x").alias("surfaceForm"), F.lit(1.0).alias("similarityScore"), F.lit(0.0).alias("percentageSecondRank"), F.lit(1).alias("support"))
+    rows = st.mentions(spark, sf_dir).select(KEY, F.struct("ord", F.struct("uri", "types", scores.alias("scores")).alias("c")).alias("x"))
+    by_doc = rows.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]).alias("concepts"), F.count("*").cast("int").alias("nbWords"))
+    folder = _folder(spark, "concepts")
+    files.write_concepts(_named(by_doc), folder)
+    found = mn.mention_counts(mn.explode_concepts(files.read_concepts(spark, folder)))
+    return _numbered(found).select(KEY, "uri", "count", F.col("offset").cast("long").alias("offset"), F.array_join("types", "|").alias("types"))
+
+
+def sc_info_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of the concepts written as one map and read again."""
+    rows = stored(st.mentions(spark, sf_dir), "mentions")
+    folder = _folder(spark, "info")
+    files.write_info(kb.concept_info(rows, st.triples(spark, sf_dir, rows)), folder)
+    return files.read_info(spark, folder).select("uri", F.array_join("types", "|").alias("types"), "nb_links_in", "nb_links_out")
+
+
+def sc_graph_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All graphs written in node-link form and read again."""
+    _, links, nodes, lengths = _concepts(spark, sf_dir)
+    folder = _folder(spark, "graphs")
+    files.write_graphs(_named(nodes), _named(links), _named(lengths), folder)
+    n, e, size = files.read_graphs(spark, folder)
+    by_node = n.groupBy("filename").agg(F.count("*").alias("nodes"), F.count_if("resource").alias("resources"), F.sum("count").alias("mentions"), F.sum("nbLinksIn").alias("links_in"))
+    by_edge = e.groupBy("filename").agg(F.count("*").alias("edges"), F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "src", "dst"))), "|")).alias("digest"))
+    return _numbered(size.join(by_node, "filename", "left").join(by_edge, "filename", "left"))
+
+
+def sc_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triples written as N-Triples and read again, counted by predicate."""
+    end = F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), "o", F.lit('"'))).otherwise(F.concat(F.lit("<"), "o", F.lit(">")))
+    folder = _folder(spark, "triples")
+    st.triples(spark, sf_dir).select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), end, F.lit(" ."))).write.text(folder)
+    found = rdf.read_ntriples(spark, folder)
+    return found.groupBy("p", "o_kind").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"), F.min("s").alias("first"), F.max("o").alias("last"))
+
+
+def u_ontologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The taxonomy as three ontologies, one of them in Turtle, a part of it in two of them, and their union again."""
+    tax = st.taxonomy(spark)
+    made = ontology.Ontologies.empty()
+    for key, space in ns.NAMESPACES:
+        folder, own = _folder(spark, f"ontology-{key}"), tax.filter(F.startswith("cls", F.lit(space)) | F.endswith("cls", F.lit("_1")))
+        if key == "yago":
+            line = F.concat(F.lit("<"), "cls", F.lit("> rdfs:subClassOf <"), "parent", F.lit("> ."))
+            head = spark.range(1).select(F.lit(0).alias("k"), F.lit("@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .").alias("line"))
+            head.unionByName(own.select(F.lit(1).alias("k"), line.alias("line"))).coalesce(1).sortWithinPartitions("k").select("line").write.text(folder)
+            made = made.add(key, space, folder, "n3")
+        else:
+            own.select(F.concat(F.lit("<"), "cls", F.lit(f"> <{kb.SUBCLASS_OF}> <"), "parent", F.lit("> ."))).write.text(folder)
+            made = made.add(key, space, folder)
+    return ontology.subclass(made.triples(spark))
+
+
+def sc_word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lists in both layouts, written from the tagged tokens and read again."""
+    counted = stored(st.tagged_tokens(spark, sf_dir).groupBy("word", "pos").agg(F.count("*").alias("freq")), "counted")
+    pos = F.col("pos")
+    bnc = F.when(pos == "nn", "NoC").when(pos == "vb", "Verb").when(pos == "jj", "Adj").otherwise("Det")
+    out = None
+    for name, line, read in (("bnc", F.concat_ws("\t", "word", bnc, "freq", F.lit("9")), files.read_bnc), ("anc", F.concat_ws(" ", F.lit("form"), "word", F.upper("pos"), "freq"), files.read_anc)):
+        folder = _folder(spark, name)
+        counted.select(line.alias("line")).unionByName(spark.range(1).select(F.explode(F.array(F.lit(""), F.lit("Total words 12 12"))).alias("line"))).write.text(folder)
+        rows = read(spark, folder).withColumn("list", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def sk_vectors_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as CSV, the key first, and read again."""
+    _, links, nodes, _ = _concepts(spark, sf_dir)
+    folder, columns = _folder(spark, "vectors"), ["nbConcepts", "nbUniqueConcepts", "nbNodes", "nbEdges"]
+    files.write_vectors(_named(graphs.counts(nodes, links, key=KEY).select(KEY, *columns)), folder)
+    found = spark.read.option("header", True).csv(folder)
+    return _numbered(found).select(KEY, *[F.col(c).cast("long").alias(c) for c in columns])
+
+
+def pf_annotation_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An annotator's answer for each document, made of its fields, parsed and filtered."""
+    text = lambda c: F.col(c).cast("string")
+    item = lambda uri, types, support: F.struct(uri.alias("@URI"), types.alias("@types"), text("n_chars").alias("@offset"), F.col("lang").alias("@surfaceForm"), support.alias("@support"), F.concat(F.lit("0."), (F.col(KEY) % 10).cast("string")).alias("@similarityScore"), F.lit("1E-3").alias("@percentageOfSecondRank"))
+    none = F.lit(None).cast("string")
+    types = F.when(F.col(KEY) % 2 == 0, "DBpedia:A,Schema:B").otherwise("")
+    items = F.array(item(F.concat(F.lit("u"), text(KEY)), types, text("n_chars")), item(none, types, none), item(F.concat(F.lit("v"), text(KEY)), none, F.col("source")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    body = F.when(F.col(KEY) % 7 > 0, F.to_json(F.struct(items.alias("Resources"))))
+    rows = docs.select(KEY, F.explode(mn.parse_response(body)).alias("x"))
+    ok = lambda **o: mn.accepts(F.col("x"), **o)
+    return rows.select(
+        KEY, F.col("x.uri").alias("uri"), F.array_join("x.types", "|").alias("types"), F.col("x.scores.offset").cast("long").alias("offset"), F.col("x.scores.support").cast("long").alias("support"),
+        F.col("x.scores.similarityScore").alias("similarity"), ok().alias("confident"), ok(confidence=None, support=500).alias("supported"),
+        ok(confidence=None, types=["Schema:B"]).alias("listed"), ok(confidence=None, types=["Schema:B"], policy="blacklist").alias("unlisted"),
+    )
+
+
+def pf_tagged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of word_TAG tokens split into words and tags, counted by tag."""
+    rows = st.tagged_tokens(spark, sf_dir).select(KEY, F.struct("idx", F.concat(F.initcap("word"), F.lit("_"), F.upper("pos")).alias("t")).alias("x"))
+    docs = rows.groupBy(KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), " ").alias("text"))
+    t = files.tagged_tokens(docs, KEY)
+    lines = F.count_if(lexical.is_line(F.concat_ws("_", "word", "pos")))
+    return t.groupBy(KEY, "pos").agg(F.count("*").alias("n"), lines.alias("lines"), F.count_if(lexical.is_word(F.col("pos"))).alias("words"), F.min("word").alias("first"), F.sum(F.col("idx").cast("long")).alias("places"))
+
+
+def j_namespace_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents of one namespace only."""
+    tax = ontology.subclass(st.triples(spark, sf_dir), "http://schema.org/")
+    return ontology.parents(st.taxonomy(spark).select("cls"), tax)
+
+
+def g_one_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graphs' edges with types and parents of one namespace only."""
+    rows = stored(st.mentions(spark, sf_dir), "mentions")
+    triples = stored(st.triples(spark, sf_dir, rows), "triples")
+    found = stored(graphs.resources(mn.mention_counts(rows, KEY), kb.concept_info(rows, triples), KEY), "resources")
+    return graphs.in_one_namespace(found, triples, "Schema", key=KEY)
+
+
+def a_text_length_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text densities where the number of words is unknown."""
+    _, links, nodes, lengths = _concepts(spark, sf_dir)
+    return _rounded(graphs.path_features(nodes, links, lengths.withColumn("nbWord", F.lit(None).cast("long")), KEY).select(KEY, "textDensityMean", "textDensityStd"))
+
+
+def o_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of a hundred of entities and types, in order."""
+    rows = kb.entity_types(st.triples(spark, sf_dir)).select("uri", F.explode("types").alias("type"))
+    return kb.page(rows, ["uri", "type"], 200, 100)
 
 
 QUERIES: dict[str, Query] = {
@@ -209,5 +358,7 @@ QUERIES: dict[str, Query] = {
         pf_clean_paragraphs, pf_word_count, w_paragraph_offsets, a_distinct_uris, a_mention_counts, a_entity_types, a_links_in, a_links_out, a_number_of_types, j_concept_info,
         pf_managed_uri, pf_qname_color, j_parents_default_root, j_ancestor_closure, g_vertices, g_edges, a_graph_counts, a_ns_density, g_assortativity, g_distances,
         g_radius_diameter, g_text_density, g_semantic_vector, sc_word_list_rank, l_counts, l_diversity, l_lexical_vector, t_tree_nodes, t_pattern_counts, y_syntactic_vector, sk_skip_existing,
+        sc_concepts_files, sc_info_map, sc_graph_files, sc_ntriples, u_ontologies, sc_word_lists, sk_vectors_csv, pf_annotation_items, pf_tagged_text, j_namespace_parents, g_one_namespace,
+        a_text_length_fallback, o_page,
     )
 }

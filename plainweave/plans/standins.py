@@ -5,14 +5,14 @@ They are deterministic, and ``plainweave.plans.oracle`` has the same in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainweave.functions.namespaces import NAMESPACES
-from plainweave.functions.text import PARAGRAPH_THRESHOLD
 from plainweave.operators.kb import RDF_TYPE, SUBCLASS_OF
 
-GAZETTEER = 200
+#: A word is in the gazetteer by a rule on itself: of LETTERS letters or more, and of its hash's first byte below SHARE.
+LETTERS, SHARE = 8, 24
 SIZES = {1: 4, 2: 12, 3: 40}
 
 #: One tree for each pattern and one for each of its negations. Fixed values.
@@ -44,30 +44,33 @@ def clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, ord, offset, token, w): the English texts over the threshold, split at single spaces."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter((F.col("lang") == "en") & (F.length("text") > PARAGRAPH_THRESHOLD))
-    rows = docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("ord", "token"))
-    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum(F.length("token") + 1).over(before), F.lit(0)).cast("long"))
-    return rows.withColumn("w", F.lower(F.regexp_replace("token", "[^A-Za-z]", "")))
-
-
-def gazetteer(rows: DataFrame) -> DataFrame:
-    """(w, rk): the words of eight letters or more in most documents."""
-    counted = rows.filter(F.length("w") >= 8).groupBy("w").agg(F.count_distinct("doc_id").alias("df"))
-    best = counted.orderBy(F.desc("df"), "w").limit(GAZETTEER)
-    return best.select("w", (F.row_number().over(Window.orderBy(F.desc("df"), "w")) - 1).alias("rk"))
+    """(doc_id, ord, token): all texts split at single spaces."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("ord", "token"))
 
 
 def uri(w: Column) -> Column:
     return F.concat(F.lit("http://dbpedia.org/resource/"), w)
 
 
+def _number(w: Column, first: int, digits: int) -> Column:
+    return F.conv(F.substring(F.md5(w), first, digits), 16, 10).cast("long")
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, ord, offset, uri, types, rk)"""
-    rows = words(spark, sf_dir)
-    none = F.array().cast("array<string>")
-    return rows.join(F.broadcast(gazetteer(rows)), "w").select("doc_id", F.col("ord").cast("long").alias("ord"), "offset", uri(F.col("w")).alias("uri"), none.alias("types"), "rk")
+    """(doc_id, ord, offset, uri, types, rk): the words of all texts that are in the gazetteer. One in four has types from the annotator, managed ones and others.
+
+    The words are picked within the text's own row; the place of one is the length of what stands before it.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    split = F.transform(F.split("text", " ", -1), lambda x, i: F.struct(i.alias("ord"), F.lower(F.regexp_replace(x, "[^A-Za-z]", "")).alias("w")))
+    hits = F.filter(split, lambda t: F.when(F.length(t["w"]) >= LETTERS, _number(t["w"], 1, 2) < SHARE).otherwise(F.lit(False)))
+    rows = docs.select("doc_id", "text", F.inline(hits))
+    offset = F.when(F.col("ord") == 0, F.lit(0)).otherwise(F.length(F.call_function("substring_index", F.col("text"), F.lit(" "), F.col("ord"))) + 1)
+    rows = rows.select("doc_id", F.col("ord").cast("long").alias("ord"), offset.cast("long").alias("offset"), "w", _number(F.col("w"), 3, 4).alias("rk"))
+    own = F.array(F.concat(F.lit("Schema:C3_"), (F.col("rk") % 40).cast("string")), F.lit("Unknown:Thing"))
+    types = F.when(F.col("rk") % 4 == 0, own).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", "ord", "offset", uri(F.col("w")).alias("uri"), types.alias("types"), "rk")
 
 
 def class_uri(level: Column, k: Column) -> Column:
@@ -88,16 +91,16 @@ def taxonomy(spark: SparkSession) -> DataFrame:
 
 
 def resource_types(names: DataFrame) -> DataFrame:
-    """(uri, type) from the gazetteer's ranks; some have none, some one that is not managed."""
+    """(uri, type) from the numbers ``rk`` of ``names`` (uri, rk); some have none, some one that is not managed."""
     rk = F.col("rk")
     three = F.lit(3)
     own = F.when(rk % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(class_uri(three, rk % 40), class_uri(three, rk * 7 % 40)))
     all_ = F.when(rk % 13 == 0, F.concat(own, F.array(F.lit("http://example.org/Thing")))).otherwise(own)
-    return names.select(uri(F.col("w")).alias("uri"), F.explode(all_).alias("type")).distinct()
+    return names.select("uri", F.explode(all_).alias("type")).distinct()
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(s, p, o, o_kind) of the star schema's keys and names, the types, and the taxonomy."""
+def triples(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """(s, p, o, o_kind) of the star schema's keys and names, the types, and the taxonomy. ``found``: the mentions, if they are there already."""
     table = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     iri = lambda kind, c: F.concat(F.lit(f"http://example.org/{kind}/"), F.col(c).cast("string"))
 
@@ -105,9 +108,9 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         return t.select(s.alias("s"), F.lit(p if p.startswith("http") else f"http://example.org/{p}").alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"))
 
     c, n, s, o, li = (table(t) for t in ("customer", "nation", "supplier", "orders", "lineitem"))
-    names = gazetteer(words(spark, sf_dir))
+    names = (mentions(spark, sf_dir) if found is None else found).select("uri", "rk").distinct()
     typed, classes = resource_types(names), taxonomy(spark)
-    w = names.select(uri(F.col("w")).alias("u"), F.concat(F.lit("http://example.org/nation/"), (F.col("rk") % 25).cast("string")).alias("n"))
+    w = names.select(F.col("uri").alias("u"), F.concat(F.lit("http://example.org/nation/"), (F.col("rk") % 25).cast("string")).alias("n"))
     parts = [
         rows(c, iri("customer", "c_custkey"), "in", iri("nation", "c_nationkey")), rows(c, iri("customer", "c_custkey"), "name", F.col("c_name"), "literal"),
         rows(n, iri("nation", "n_nationkey"), "in", iri("region", "n_regionkey")), rows(n, iri("nation", "n_nationkey"), "name", F.col("n_name"), "literal"),
@@ -123,7 +126,7 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, idx, word, pos): tags by the words' endings. No tagger."""
+    """(doc_id, idx, word, pos): tags by the words' endings, some of them tags of no words. No tagger."""
     w = F.lower(F.regexp_replace("token", "[^A-Za-z0-9]", ""))
     rows = words(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("idx"), w.alias("word")).filter("word <> ''")
     return rows.withColumn("pos", tag(F.col("word")))
@@ -132,13 +135,13 @@ def tagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag(word: Column) -> Column:
     ends = lambda *x: word.rlike(f"({'|'.join(x)})$")
     return (
-        F.when(word.rlike("^[0-9]+$"), "cd").when(ends("ly"), "rb").when(ends("ing", "ed"), "vb").when(ends("tion", "er", "st"), "nn")
+        F.when(word.rlike("^[0-9]+$"), "cd").when(ends("us"), ",").when(ends("is"), "sent").when(ends("ar"), "sym").when(ends("ly"), "rb").when(ends("ing", "ed"), "vb").when(ends("tion", "er", "st"), "nn")
         .when(F.length(word) <= 3, "dt").when(ends("le", "ent"), "jj").otherwise("nn")
     )
 
 
 def word_list(tagged: DataFrame) -> DataFrame:
-    """(lemma, freq, is_adj) of the tagged tokens; the first ten in a hundred of each word's letters make it an adjective's stem too."""
+    """(lemma, freq, is_adj) of the tagged tokens; words of a length divisible by four are adjectives too."""
     return tagged.groupBy(F.col("word").alias("lemma")).agg(F.count("*").alias("freq"), F.bool_or((F.col("pos") == "jj") | (F.length("word") % 4 == 0)).alias("is_adj"))
 
 

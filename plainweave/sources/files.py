@@ -15,8 +15,14 @@ INFO = "map<string,struct<concept_iri:string,types:array<string>,nb_links_in:str
 GRAPH = "directed boolean, multigraph boolean, graph struct<nb_words:int>, nodes array<struct<id:string,resource:boolean,count:bigint,offset:bigint,nbTypes:bigint,nbLinksIn:string,nbLinksOut:string>>, links array<struct<source:string,target:string>>"
 
 
-def _whole(spark: SparkSession, path: str, extension: str) -> DataFrame:
+#: Files of this name hold a document a line, as Spark's writers leave them; all others are one document each.
+_PART = "part-%"
+
+
+def _whole(spark: SparkSession, path: str, extension: str, but_parts: bool = False) -> DataFrame:
+    """(filename, text), a row per file; ``but_parts``: without files of a document a line, which are not even opened."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{extension}")
+    rows = rows.filter(~F.col("_metadata.file_name").like(_PART)) if but_parts else rows
     return rows.select(key_of_path(F.col("_metadata.file_name")).alias("filename"), F.col("value").alias("text"))
 
 
@@ -33,8 +39,8 @@ def texts(spark: SparkSession, items: list[str]) -> DataFrame:
 def read_concepts(spark: SparkSession, path: str, extension: str = ".json") -> DataFrame:
     """SC5: (filename, concepts, nbWords), a document per file, or a line per document with its filename as ``write_concepts`` leaves it."""
     schema = StructType.fromDDL(f"filename string, {CONCEPTS}")
-    rows = spark.read.schema(schema).json(path, multiLine=False, pathGlobFilter=f"*{extension}")
-    whole = _whole(spark, path, extension).filter(~F.col("text").contains('"filename"'))
+    rows = spark.read.schema(schema).json(path, multiLine=False, pathGlobFilter=f"part-*{extension}")
+    whole = _whole(spark, path, extension, True)
     parsed = whole.select("filename", F.from_json("text", CONCEPTS).alias("x")).select("filename", "x.concepts", "x.nbWords")
     return rows.filter("filename IS NOT NULL").select("filename", "concepts", "nbWords").unionByName(parsed)
 
@@ -57,8 +63,8 @@ def skip_existing(rows: DataFrame, path: str, extension: str = ".json") -> DataF
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(at):
         return rows
-    done = spark.read.schema("filename string").json(path, pathGlobFilter=f"*{extension}").filter("filename IS NOT NULL")
-    done = done.unionByName(_whole(spark, path, extension).select("filename"))
+    done = spark.read.schema("filename string").json(path, pathGlobFilter=f"part-*{extension}").filter("filename IS NOT NULL")
+    done = done.unionByName(_whole(spark, path, extension, True).select("filename"))
     return rows.join(done.distinct(), "filename", "left_anti")
 
 
@@ -92,8 +98,8 @@ def write_graphs(nodes: DataFrame, links: DataFrame, lengths: DataFrame, path: s
 
 def read_graphs(spark: SparkSession, path: str, extension: str = ".json") -> tuple[DataFrame, DataFrame, DataFrame]:
     """SC8: (vertices, edges, lengths) from node-link JSON, a graph a file or a line."""
-    rows = spark.read.schema(f"filename string, {GRAPH}").json(path, pathGlobFilter=f"*{extension}").filter("filename IS NOT NULL")
-    whole = _whole(spark, path, extension).filter(~F.col("text").contains('"filename"'))
+    rows = spark.read.schema(f"filename string, {GRAPH}").json(path, pathGlobFilter=f"part-*{extension}").filter("filename IS NOT NULL")
+    whole = _whole(spark, path, extension, True)
     parsed = whole.select("filename", F.from_json("text", GRAPH).alias("x")).select("filename", "x.*")
     both = rows.unionByName(parsed)
     nodes = both.select("filename", F.explode("nodes").alias("n")).select("filename", "n.*")

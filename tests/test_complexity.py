@@ -188,3 +188,16 @@ def test_ratios_are_0_with_a_0(spark):
     assert list(by["d"]) == ["filename", *syntactic.FEATURES]
     assert (by["d"]["MLS"], by["d"]["DC/C"], by["d"]["C/S"]) == (2.0, 0.0, 1.0)
     assert set(by["e"].values()) == {"e", 0.0}
+
+
+def test_ranks_of_all_words_and_long_lists(spark, monkeypatch):
+    """Without a limit words are ranked by ranges; a list too long to be sent gives the same flags."""
+    rng = random.Random(5)
+    listed = [(f"w{k}", rng.randrange(9), rng.random() < 0.5) for k in range(300)]
+    words = spark.createDataFrame(listed, "lemma string, freq long, is_adj boolean")
+    want = {w: k + 1 for k, (w, _, _) in enumerate(sorted(listed, key=lambda x: (x[1], x[0]), reverse=True))}
+    assert {r["lemma"]: r["rnk"] for r in lexical.word_ranks(words, 0).collect()} == want
+    tagged = spark.createDataFrame([(f"d{k % 7}", k, rng.choice(listed)[0] + rng.choice(["", "ly"]), rng.choice(["nn", "rb", "vb"])) for k in range(2000)], "filename string, idx int, word string, pos string")
+    sent = sorted(map(tuple, lexical.classified(tagged, words, rank_limit=40).collect()))
+    monkeypatch.setattr(lexical, "MOST_SENT", 10)
+    assert sorted(map(tuple, lexical.classified(tagged, words, rank_limit=40).collect())) == sent

@@ -137,3 +137,41 @@ def test_one_namespace(spark):
     assert rows(graphs.in_one_namespace(found, triples, "Schema")) == sorted([("d", f"{S}A", "r"), ("d", f"{S}A", f"{S}B"), ("d", ROOT, f"{S}B")])
     with pytest.raises(ValueError, match="no namespace"):
         graphs.in_one_namespace(found, triples, "none")
+
+
+def test_features_are_the_same_for_any_order_of_rows(spark, built):
+    """Equal to the last bit over six ways to deal the rows out."""
+    nodes, links, _ = built
+    made = []
+    for k in range(1, 7):
+        n, e = nodes.repartition(k, "id").sortWithinPartitions("id", ascending=k % 2 == 0), links.repartition(k).sortWithinPartitions("src", ascending=k % 2 == 1)
+        made.append((rows(graphs.assortativity(e)), rows(graphs.counts(n, e))))
+    assert all(x == made[0] for x in made)
+
+
+def test_assortativity_of_known_graphs(spark):
+    star = [("star", "a", x) for x in "bcd"]
+    path = [("path", "a", "b"), ("path", "b", "c"), ("path", "c", "d")]
+    ring = [("ring", "a", "b"), ("ring", "b", "c"), ("ring", "a", "c")]
+    out = dict(rows(graphs.assortativity(spark.createDataFrame(star + path + ring, "filename string, src string, dst string"))))
+    assert (out["star"], out["path"], out["ring"]) == (-1.0, -0.5, None)
+
+
+def test_disconnected_graphs_have_no_nan(spark):
+    """Pairs without a path are left out, both ways."""
+    links = spark.createDataFrame([("d", "a", "b"), ("d", "c", "e"), ("d", "b", "f")], "filename string, src string, dst string")
+    nodes = spark.createDataFrame([("d", x, x != "f", k * 3 if x != "f" else None) for k, x in enumerate("abcef")], "filename string, id string, resource boolean, offset long")
+    lengths = spark.createDataFrame([("d", 20)], "filename string, nbWord long")
+    mine = graphs.path_features(nodes, links, lengths).first()
+    paths = graphs.distances(links)
+    native = graphs.radius_diameter(paths).join(graphs.text_density(paths, nodes, lengths), "filename").first()
+    assert tuple(mine)[:3] == tuple(native)[:3] == ("d", 1, 2)
+    for name in ("textDensityMean", "textDensityStd"):
+        assert mine[name] == pytest.approx(native[name]) and mine[name] == mine[name]
+    assert mine["textDensityMean"] == pytest.approx((3 / 20) ** 2 / 2**0.5)
+
+
+def test_deep_taxonomy_is_complete(spark):
+    depth = 40
+    tax = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(depth)], "cls string, parent string")
+    assert ontology.ancestors(spark.createDataFrame([("c0",)], "cls string"), tax).count() == depth + 1

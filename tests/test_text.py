@@ -68,3 +68,27 @@ def test_word_pattern_counts_tagged_words(spark):
 
     tree = "(ROOT (S (NP (PRP$ My) (NN dog)) (VP (VBZ eats)) (. .)))"
     assert one(spark, word_count, tree) == len(re.findall(WORD, tree)) == 3
+
+
+def test_merged_treebank_patterns_equal_the_published_ones(spark):
+    """The engine's merged substitutions against the list that the SQL writes out, one by one."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from plainweave.functions.text import tokens
+    from plainweave.plans.oracle import TREEBANK
+
+    rng = random.Random(2)
+    pieces = ["cannot", "Can't", "d'ye", "gimme", "gonna", "gotta", "lemme", "more'n", "wanna", "'tis", "'TWAS", "don't", "we'll", "dog's", "dogs'", '"x"', "``", "''", "(a)", "[b]", "{c}", "<d>", "--", "...", "a.", "b.)", "?!", ";", ":", ",", "1,000", "a:b", "e@f", "#1", "$5", "50%", "&c", "x", "y"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", " ", " ", "", "\n"]) for _ in range(rng.randint(1, 25))) for _ in range(800)]
+
+    def plain(t):
+        for pattern, put in TREEBANK:
+            t = " " + t if pattern == "^" else t + " " if pattern == "$" else re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", put), t, flags=re.ASCII)
+        return t.split()
+
+    got = [r["t"] for r in spark.createDataFrame(list(enumerate(texts)), "k int, x string").repartition(1).orderBy("k").select(tokens(F.col("x")).alias("t")).collect()]
+    for x, a in zip(texts, got, strict=True):
+        assert a == plain(x), x
