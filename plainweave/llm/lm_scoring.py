@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainweave.llm.common import stored
-from plainweave.llm.ragged import LOWER, chunks, mix, padded, split_words, xxh64
+from plainweave.llm.ragged import LOWER, chunks, mix, padded, split_words, tidy, xxh64
 from plainweave.tables import discard, workspace
 
 LINE, DIGITS, LEVELS = 4096, 3, 48
@@ -366,6 +366,7 @@ def _scored_by_file(docs: DataFrame, name: str, made: Callable[[np.ndarray], Log
             one = bits.counts(ask.one, 0)
             yield _scores(numbers, known.value, batch.column(0), h, n, ask.log10(numbers, one, bits.counts(ask.pairs, 1)), row)
             row += len(n)
+        tidy()
 
     return docs.mapInArrow(run, SCORED)
 

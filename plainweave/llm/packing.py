@@ -10,7 +10,9 @@ packs what it reads in blocks of about ``block_tokens`` tokens, so nothing is sh
   power of two in what is left over. All of them end up full, so nothing is padded.
 
 Nulls: a null text is empty; it, like an empty one, still has the end token. Repeated rows are documents of their own.
-A null doc_id is returned as null. An empty table gives an empty result.
+A null doc_id is returned as null. Remainders of equal length go in the order in which they were read, and of sequences of equal cost the first takes one.
+A long text is cut into full sequences; its ids are one array in its task. An empty table gives an empty result. Columns other than doc_id and text are not read, whatever their names.
+Where a block ends depends on how the table is split into tasks; what each piece holds, and that nothing is padded, doesn't.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainweave.llm.ragged import chunks
+from plainweave.llm.ragged import chunks, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -91,5 +93,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
                     held, tokens = [], 0
         if held:
             yield block(held)
+        del bpe, held
+        tidy()
 
     return docs.select("doc_id", F.col("text")).mapInArrow(run, SCHEMA)

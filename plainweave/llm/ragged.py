@@ -6,6 +6,9 @@ of an Arrow string column), so no Python object is made per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +67,14 @@ def _xxh64_equal(buf: np.ndarray, s: np.ndarray, n: int, seed: int) -> np.ndarra
         return h ^ (h >> np.uint64(32))
 
 
+def tidy() -> None:
+    """Gives what a finished task has freed back to the system: workers wait for their next task with it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def padded(data: np.ndarray) -> np.ndarray:
     return np.concatenate([data, np.zeros(8, np.uint8)])
 

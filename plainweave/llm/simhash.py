@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from plainweave.llm.cascade import drop_rows
 from plainweave.llm.common import ROW_KEY, joined_by_weight, row_key, stored
 from plainweave.llm.components import components
-from plainweave.llm.ragged import _SPACE, LOWER, chunks, padded, split_words, xxh64
+from plainweave.llm.ragged import _SPACE, LOWER, chunks, padded, split_words, tidy, xxh64
 
 RADIUS, TILE, ROWS_A_TASK = 3, 4096, 200_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -84,6 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch, data, offsets in chunks(batches):
             fp = fingerprint_chunk(data, offsets, shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", ROW_KEY, "fp"])
+        tidy()
 
     return docs.select("doc_id", row_key().alias(ROW_KEY), "text").mapInArrow(run, f"doc_id long, {ROW_KEY} long, fp long")
 
@@ -195,6 +196,8 @@ def links(distinct: DataFrame, parts: int | None = None, tile: int = TILE) -> Da
         root = linked(fp, last)
         i = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[root[i]].view(np.int64))], names=["a", "b"])
+        del held, fp, bucket, last, root
+        tidy()
 
     spread = max(distinct.sparkSession.sparkContext.defaultParallelism, n * len(masks) // ROWS_A_TASK + 1)
     return placed.repartition(spread, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a long, b long").distinct()

@@ -2,8 +2,10 @@
 
 Recompression names the symbols of a text level by level. A round first names runs of one symbol, then pairs: a
 hash puts each symbol on the left or right side, and a left symbol followed by a right one becomes one new
-symbol. Names are hashes of what they replace, so all tasks agree on them without a dictionary, and
-equal substrings get the same symbols but for those near their ends. Few rounds keep each symbol's context short, the words that decided
+symbol. Names are 64-bit hashes of what they replace, so all tasks agree on them without a dictionary, and
+equal substrings get the same symbols but for those near their ends. Numbers dealt out by a Spark round a level would name the same runs and pairs, one to one
+but for hash collisions; they would shuffle all symbols of all texts four times (a token's 8 bytes and its place, about twice the texts' size, a round), past the
+disk that the check allows. So the rounds of a text run in its task, and one Spark round groups the names of the last level. Few rounds keep each symbol's context short, the words that decided
 its making; the last level names the shortest row of symbols that has ``PHRASE`` words or more, for every other
 first symbol (by its name). A symbol whose context lies within a window stands in every occurrence of that window.
 
@@ -11,14 +13,16 @@ first symbol (by its name). A symbol whose context lies within a window stands i
 2. A Spark round groups the high-level symbols of all documents by name and keeps those found in two documents or more, as
    a Bloom filter of about ten bits each, at most 2^``most_log2_bits`` bits (32 MB).
 3. A window that holds the context of a symbol of no other document occurs nowhere else. Only the other windows are
-   named themselves (96 bits of two polynomial hashes of their words): this verifies the repeats. A task settles the windows that
+   named themselves (96 bits of two polynomial hashes of their words): this verifies the repeats where the shared symbols end. A task settles the windows that
    it holds twice, so of each name only those with a task's smallest doc_id are shuffled, once, and sorted by name and doc_id.
 4. Words covered by windows that also start in a document with a smaller doc_id are removed.
 
 A fuller Bloom filter only lets more windows through to step 3. Nothing is paired or collected: a sorted name's first row has its smallest doc_id.
 
 Nulls: a null text has no words, a null doc_id counts as larger than any other. Rows that agree in doc_id and text
-share their result; equal doc_ids never remove each other's words. An empty table gives an empty result.
+share their result; equal doc_ids never remove each other's words. An empty text has no words; one of fewer than ``window`` words loses none. Of documents with a window the smallest doc_id
+keeps it, wherever in the text it stands. A long text is a chunk of its own and takes some tens of bytes a word in its task. An empty table gives an empty result.
+Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
