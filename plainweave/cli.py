@@ -42,8 +42,11 @@ def parser() -> argparse.ArgumentParser:
 
     for name, about in (("texts2vectors", "texts to semantic vectors"), ("texts2concepts", "texts to concepts")):
         p = command(name, "input", "output", about=about)
-        p.add_argument("--gazetteer", required=True, help="JSON lines with word, uri, types")
-        p.add_argument("-co", "--confidence", type=float, default=0.5)
+        p.add_argument("--gazetteer", required=True, help="JSON lines with word, uri, types, and optionally similarity and support")
+        p.add_argument("-co", "--confidence", type=float, default=0.5, help="least similarity of a mention")
+        p.add_argument("--support", type=int, help="least support of a mention")
+        p.add_argument("--types", nargs="*", help="types that a mention must have one of")
+        p.add_argument("--policy", choices=["whitelist", "blacklist"], default="whitelist", help="blacklist: none of the types instead")
         if name == "texts2vectors":
             knowledge(p)
             ontologies(p)
@@ -58,7 +61,7 @@ def parser() -> argparse.ArgumentParser:
     p = command("texts2synLexVectors", "trees", "tagged", "output", about="trees and tagged texts to syntactic and lexical vectors")
     p.add_argument("-lex-type", "--lex-type", choices=["anc", "bnc"], default="bnc")
     p.add_argument("--word-list", required=True)
-    command("printGraph", "input", about="names and colours of a graph's nodes")
+    command("printGraph", "input", about="names and colours of the graphs' nodes, and their edges, a line each")
     return top
 
 
@@ -73,8 +76,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return read_triples(spark, a.triples, a.format) if getattr(a, "triples", None) else spark.createDataFrame([], TRIPLES)
 
     def annotator():
-        names = spark.read.schema("word string, uri string, types array<string>").json(a.gazetteer)
-        return mentions.gazetteer_table(names)
+        names = spark.read.schema("word string, uri string, types array<string>, similarity double, support int").json(a.gazetteer)
+        return mentions.gazetteer_table(names, confidence=a.confidence, support=a.support, types=a.types, policy=a.policy)
+
+    for place in ("input", "trees", "tagged", "gazetteer", "triples", "info", "word_list"):
+        if getattr(a, place, None):
+            files.readable(spark, getattr(a, place))
+    if getattr(a, "output", None):
+        files.writable(spark, a.output)
 
     if a.command == "texts2vectors":
         made = SemanticTransformer(annotator(), triples(), chosen)
@@ -104,9 +113,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         words = (files.read_bnc if a.lex_type == "bnc" else files.read_anc)(spark, a.word_list)
         files.write_vectors(synlex_vectors(files.read_trees(spark, a.trees, a.extension), files.read_tagged(spark, a.tagged, a.extension), words), a.output)
     else:
-        nodes, _, _ = files.read_graphs(spark, a.input, a.extension)
-        name = qname(F.col("id"))
-        nodes.select("filename", "id", name.alias("qname"), colour(name).alias("colour")).orderBy("filename", "id").show(10_000, False)
+        nodes, links, _ = files.read_graphs(spark, a.input, a.extension)
+        name, end = qname(F.col("id")), qname(F.col("dst"))
+        rows = nodes.select("filename", F.lit("node").alias("kind"), name.alias("a"), colour(name).alias("b"))
+        rows = rows.unionByName(links.select("filename", F.lit("edge").alias("kind"), qname(F.col("src")).alias("a"), end.alias("b")))
+        for r in rows.orderBy("filename", F.desc("kind"), "a", "b").toLocalIterator():
+            print(r["filename"], r["kind"], r["a"], r["b"], sep="\t")
     return 0
 
 

@@ -194,7 +194,7 @@ def _paths_of(n: int, src: np.ndarray, dst: np.ndarray, at: np.ndarray, offsets:
     known = bool(size) and not np.isnan(size)
     place = np.full(n, -1)
     place[at] = np.arange(len(at))
-    total = squares = 0.0
+    mean = squares = 0.0
     pairs = 0
     for lo in range(0, n, 256):
         rows = np.arange(lo, min(n, lo + 256))
@@ -213,15 +213,17 @@ def _paths_of(n: int, src: np.ndarray, dst: np.ndarray, at: np.ndarray, offsets:
             i = place[rows[column]]
             further = dist[at[i + 1 :], column].astype(float)
             met = further >= 0
-            gap = ((offsets[i + 1 :] - offsets[i]) / size)[met] ** 2
-            total += (gap * np.sqrt(further[met])).sum()
-            squares += (gap * gap * further[met]).sum()
-            pairs += int(met.sum())
+            value = (((offsets[i + 1 :] - offsets[i]) / size) ** 2 * np.sqrt(np.maximum(further, 0)))[met]
+            if k := len(value):
+                # Mean and squared deviations of both parts together.
+                apart = value.mean() - mean
+                squares += ((value - value.mean()) ** 2).sum() + apart * apart * pairs * k / (pairs + k)
+                mean += apart * k / (pairs + k)
+                pairs += k
     radius, diameter = int(reach.min()), int(reach.max())
     if not pairs:
         return radius, diameter, None, None
-    mean = total / pairs / np.sqrt(max(diameter, 1))
-    return radius, diameter, mean, float(np.sqrt(max(0.0, squares / pairs / max(diameter, 1) - mean * mean)))
+    return radius, diameter, float(mean / np.sqrt(max(diameter, 1))), float(np.sqrt(squares / pairs / max(diameter, 1)))
 
 
 def path_features(nodes: DataFrame, links: DataFrame, lengths: DataFrame, key: str = "filename") -> DataFrame:

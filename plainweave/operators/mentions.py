@@ -86,16 +86,19 @@ def gazetteer(names: dict[str, tuple[str, list[str]]], confidence: float | None
     return annotate
 
 
-def gazetteer_table(names: DataFrame, key: str = "filename") -> Annotator:
-    """Like ``gazetteer`` with a table (word, uri, types), joined by word: for lists of any size."""
+def gazetteer_table(names: DataFrame, key: str = "filename", confidence: float | None = 0.5, **filters) -> Annotator:
+    """Like ``gazetteer`` with a table (word, uri, types, and optionally similarity and support of a name), joined by word: for lists of any size."""
+    score = lambda c, value: F.coalesce(F.col(c), F.lit(value)) if c in names.columns else F.lit(value)
 
     def annotate(parts: DataFrame) -> DataFrame:
         tokens = parts.select(key, "par_idx", F.posexplode(F.split("text", " ")).alias("ord", "token"))
         before = Window.partitionBy(key, "par_idx").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
         tokens = tokens.withColumn("offset", F.coalesce(F.sum(F.length("token") + 1).over(before), F.lit(0)).cast("int"))
         tokens = tokens.withColumn("word", F.lower(F.regexp_replace("token", "[^A-Za-z]", "")))
-        scores = F.struct("offset", F.col("token").alias("surfaceForm"), F.lit(1.0).alias("similarityScore"), F.lit(0.0).alias("percentageSecondRank"), F.lit(1).alias("support"))
-        found = tokens.join(names.select("word", "uri", "types"), "word").select(key, "par_idx", "ord", F.struct("uri", "types", scores.alias("scores")).alias("r"))
+        scores = F.struct("offset", F.col("token").alias("surfaceForm"), F.col("similarity").cast("double").alias("similarityScore"), F.lit(0.0).alias("percentageSecondRank"), F.col("support").cast("int").alias("support"))
+        listed = names.select("word", "uri", "types", score("similarity", 1.0).alias("similarity"), score("support", 1).alias("support"))
+        found = tokens.join(listed, "word").select(key, "par_idx", "ord", F.struct("uri", "types", scores.alias("scores")).alias("r"))
+        found = found.filter(accepts(F.col("r"), confidence, **filters))
         grouped = found.groupBy(key, "par_idx").agg(F.array_sort(F.collect_list(F.struct("ord", "r"))).alias("x"))
         grouped = grouped.select(key, "par_idx", F.transform("x", lambda x: x["r"]).alias("resources"))
         return parts.join(grouped, [key, "par_idx"], "left").withColumn("resources", F.coalesce("resources", F.array().cast(f"array<{RESOURCE}>")))

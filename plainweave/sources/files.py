@@ -59,15 +59,37 @@ def write_concepts(concepts: DataFrame, path: str, force: bool = False) -> None:
 def skip_existing(rows: DataFrame, path: str, extension: str = ".json") -> DataFrame:
     """SK6, J12: the rows whose ``filename`` isn't among the outputs in ``path``; all if there is no such folder."""
     spark = rows.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(at):
+    at, system = _at(spark, path)
+    if not system.exists(at):
         return rows
     done = spark.read.schema("filename string").json(path, pathGlobFilter=f"part-*{extension}").filter("filename IS NOT NULL")
     done = done.unionByName(_whole(spark, path, extension, True).select("filename"))
     return rows.join(done.distinct(), "filename", "left_anti")
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def readable(spark: SparkSession, path: str) -> None:
+    """SK8: an error before any work if there is nothing to read."""
+    at, system = _at(spark, path)
+    if not system.exists(at):
+        raise FileNotFoundError(path)
+
+
+def writable(spark: SparkSession, path: str) -> None:
+    """SK8: an error before any work if the output can't be written: a file is made beside it and deleted again."""
+    at, system = _at(spark, path)
+    probe = at.suffix(".probe")
+    try:
+        system.create(probe, True).close()
+    except Exception as e:
+        raise PermissionError(path) from e
+    system.delete(probe, False)
+
+
 def read_info(spark: SparkSession, path: str) -> DataFrame:
     """SC7: (uri, types, nb_links_in, nb_links_out) from one JSON map; link counts may be strings."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", INFO)).alias("uri", "x"))

@@ -85,3 +85,36 @@ def test_stream(spark, tmp_path):
     q = count_stream(stream_texts(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("counts").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert rows(spark.table("counts")) == [("a", 1, 40)]
+
+
+def test_command_filters_and_checks(spark, tmp_path, capsys):
+    """-co and the other filters take effect; missing inputs and outputs that can't be written stop a command before it works; a graph is printed whole."""
+    import pytest
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.txt").write_text("alpha beta gamma" + " filler" * 30)
+    names = [{"word": "alpha", "uri": "u:a", "types": ["Schema:A"], "similarity": 0.9, "support": 5}, {"word": "beta", "uri": "u:b", "types": [], "similarity": 0.4, "support": 50}, {"word": "gamma", "uri": "u:c", "types": ["X:Y"]}]
+    (tmp_path / "g.json").write_text("".join(json.dumps(x) + "\n" for x in names))
+    at = lambda x: str(tmp_path / x)
+    found = {}
+    for k, more in enumerate(([], ["-co", "0.95"], ["-co", "0.1"], ["-co", "0.1", "--support", "5"], ["--types", "Schema:A"], ["--types", "Schema:A", "--policy", "blacklist"])):
+        assert main(["texts2concepts", at("t"), at(f"c{k}"), "--gazetteer", at("g.json"), *more], spark) == 0
+        found[k] = sorted(c["uri"] for c in files.read_concepts(spark, at(f"c{k}")).first()["concepts"])
+    assert found == {0: ["u:a", "u:c"], 1: ["u:c"], 2: ["u:a", "u:b", "u:c"], 3: ["u:a", "u:b"], 4: ["u:a"], 5: ["u:c"]}
+    with pytest.raises(FileNotFoundError):
+        main(["texts2concepts", at("none"), at("c9"), "--gazetteer", at("g.json")], spark)
+    (tmp_path / "file").write_text("")
+    with pytest.raises(PermissionError):
+        main(["concepts2info", at("c0"), at("file/under")], spark)
+    assert main(["concepts2graphs", at("c2"), at("gr")], spark) == 0
+    capsys.readouterr()
+    assert main(["printGraph", at("gr")], spark) == 0
+    lines = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
+    assert {tuple(x[1:]) for x in lines if x[1] == "node"} == {("node", "ROOT", "black"), ("node", "Schema:A", "blue"), ("node", "u:a", "green"), ("node", "u:b", "green"), ("node", "u:c", "green")}
+    assert sum(x[1] == "edge" for x in lines) == 4
+
+
+def test_a_document_whose_text_names_a_filename(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/a.json").write_text(json.dumps({"concepts": [{"uri": "u", "types": [], "scores": {"offset": 1, "surfaceForm": '"filename"'}}], "nbWords": 4}))
+    assert [(r["filename"], r["nbWords"]) for r in files.read_concepts(spark, str(tmp_path / "c")).collect()] == [("a", 4)]
