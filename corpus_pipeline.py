@@ -1,6 +1,10 @@
 """The corpus pipeline: rules, exact and near duplicates, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's ``docs``.
+
+Nulls: a null text has no words, and the rules reject it, like an empty one; a null doc_id is kept and orders last, so of copies one with an id stays; a null source is
+a source of its own. Repeated rows are copies of each other: one stays. Ties go by doc_id, then by the hash of doc_id and text. Long texts stay whole in one row until packing cuts
+their ids. Empty tables give empty results. All columns of ``documents`` are carried to the last stage, whatever their names but ``__pw_...``; that one returns pieces.
 """
 
 from __future__ import annotations
