@@ -76,6 +76,7 @@ def classified(tagged: DataFrame, word_list: DataFrame, key: str = "filename", r
     """
     lines = tagged.filter(is_line(F.concat_ws("_", "word", "pos")))
     rows = lines.filter(is_word(F.col("pos")))
+    word_list = stored(word_list.select("lemma", "freq", "is_adj"), "list")
     frequent = stored(word_ranks(word_list, rank_limit).select(F.col("lemma").alias("w")), "frequent")
     hot = word_ranks(word_list, min(rank_limit or 2000, 2000)).select(F.col("lemma").alias("w"))
     adjectives = stored(word_list.filter("is_adj").select(F.col("lemma").alias("w")).distinct(), "adjectives")
@@ -150,5 +151,5 @@ def ratios(c: DataFrame, key: str = "filename") -> DataFrame:
 
 def lexical_vectors(tagged: DataFrame, word_list: DataFrame, key: str = "filename", rank_limit: int = 2000, z: int = 50) -> DataFrame:
     """One row of FEATURES per document of ``tagged``."""
-    words = classified(tagged, word_list, key, rank_limit)
+    words = stored(classified(tagged, word_list, key, rank_limit), "words")
     return ratios(lexical_counts(words, tagged, key).join(diversity_samples(words, z, key), key, "left"), key)

@@ -38,7 +38,7 @@ def _concepts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, nbWord): all documents with the Treebank tokens of their paragraphs."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(KEY, tx.nb_words(tx.paragraphs(F.col("text"))).alias("nbWord"))
+    return st.documents(spark, sf_dir).select(KEY, tx.nb_words(tx.paragraphs(F.col("text"))).alias("nbWord"))
 
 
 def pf_clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ They are deterministic, and ``plainweave.plans.oracle`` has the same in SQL.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +40,21 @@ TREES = [
 ]
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents``, dealt out over the cores where the file has fewer splits than these; a table of many splits is read as it is."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with each line end doubled, so that there are paragraphs to split."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ord, token): all texts split at single spaces."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("ord", "token"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("ord", "token"))
 
 
 def uri(w: Column) -> Column:
@@ -62,10 +70,10 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The words are picked within the text's own row; the place of one is the length of what stands before it.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    split = F.transform(F.split("text", " ", -1), lambda x, i: F.struct(i.alias("ord"), F.lower(F.regexp_replace(x, "[^A-Za-z]", "")).alias("w")))
-    hits = F.filter(split, lambda t: F.when(F.length(t["w"]) >= LETTERS, _number(t["w"], 1, 2) < SHARE).otherwise(F.lit(False)))
-    rows = docs.select("doc_id", "text", F.inline(hits))
+    long = F.filter(F.transform(F.split("text", " ", -1), lambda x, i: F.struct(i.alias("ord"), x.alias("x"))), lambda t: F.length(t["x"]) >= LETTERS)
+    bare = F.transform(long, lambda t: F.struct(t["ord"].alias("ord"), F.lower(F.regexp_replace(t["x"], "[^A-Za-z]", "")).alias("w")))
+    hits = F.filter(bare, lambda t: F.when(F.length(t["w"]) >= LETTERS, _number(t["w"], 1, 2) < SHARE).otherwise(F.lit(False)))
+    rows = documents(spark, sf_dir).select("doc_id", "text", F.inline(hits))
     offset = F.when(F.col("ord") == 0, F.lit(0)).otherwise(F.length(F.call_function("substring_index", F.col("text"), F.lit(" "), F.col("ord"))) + 1)
     rows = rows.select("doc_id", F.col("ord").cast("long").alias("ord"), offset.cast("long").alias("offset"), "w", _number(F.col("w"), 3, 4).alias("rk"))
     own = F.array(F.concat(F.lit("Schema:C3_"), (F.col("rk") % 40).cast("string")), F.lit("Unknown:Thing"))
@@ -133,9 +141,9 @@ def tagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag(word: Column) -> Column:
-    ends = lambda *x: word.rlike(f"({'|'.join(x)})$")
+    ends = lambda *x: reduce(lambda a, b: a | b, [F.endswith(word, F.lit(e)) for e in x])
     return (
-        F.when(word.rlike("^[0-9]+$"), "cd").when(ends("us"), ",").when(ends("is"), "sent").when(ends("ar"), "sym").when(ends("ly"), "rb").when(ends("ing", "ed"), "vb").when(ends("tion", "er", "st"), "nn")
+        F.when((word != "") & (F.translate(word, "0123456789", "") == ""), "cd").when(ends("us"), ",").when(ends("is"), "sent").when(ends("ar"), "sym").when(ends("ly"), "rb").when(ends("ing", "ed"), "vb").when(ends("tion", "er", "st"), "nn")
         .when(F.length(word) <= 3, "dt").when(ends("le", "ent"), "jj").otherwise("nn")
     )
 
