@@ -12,6 +12,7 @@ from plainweave.functions.namespaces import NAMESPACES, Namespaces
 from plainweave.functions.text import PARAGRAPH_THRESHOLD, join_paragraphs, paragraphs
 from plainweave.operators import graphs, kb, lexical, mentions, syntactic
 from plainweave.operators.ontology import Ontologies, subclass
+from plainweave.sources.remote import rest_annotator, sparql_info
 from plainweave.tables import stored
 
 #: A feature of one's own: (vertices, edges) to one row per document.
@@ -39,6 +40,8 @@ class SemanticTransformer:
     threshold: int = PARAGRAPH_THRESHOLD
     key: str = "filename"
     plugins: list[FeaturePlugin] = field(default_factory=list)
+    #: Asked for types and links instead of ``triples``: from (uri) to the columns of ``kb.concept_info``.
+    knowledge: Callable[[DataFrame], DataFrame] | None = None
 
     def feature_names(self) -> list[str]:
         return graphs.feature_names(self.ontologies.namespaces())
@@ -47,11 +50,13 @@ class SemanticTransformer:
         return mentions.text_concepts(docs, self.annotate, self.key, self.threshold)
 
     def info(self, concepts: DataFrame) -> DataFrame:
-        return kb.concept_info(mentions.explode_concepts(concepts, self.key), self.triples)
+        uris = mentions.explode_concepts(concepts, self.key)
+        return self.knowledge(uris) if self.knowledge else kb.concept_info(uris, self.triples)
 
     def transform(self, docs: DataFrame) -> DataFrame:
         concepts = stored(self.concepts(docs), "concepts")
-        return self.vectors(concepts, self.info(concepts))
+        info = self.info(concepts)
+        return self.vectors(concepts, stored(info, "info") if self.knowledge else info)
 
     def vectors(self, concepts: DataFrame, info: DataFrame | None) -> DataFrame:
         spaces = self.ontologies.namespaces()
@@ -62,6 +67,12 @@ class SemanticTransformer:
         return out
 
 
+def default_semantic_transformer(annotator_endpoint: str, confidence: float, sparql_endpoint: str, taxonomy: DataFrame, connections: int = 1) -> SemanticTransformer:
+    """A transformer over two services, with all ontologies and 100 entities a query; the classes above are in ``taxonomy``, triples as ``read_triples`` gives them."""
+    annotate = rest_annotator(annotator_endpoint, confidence, connections=connections)
+    return SemanticTransformer(annotate, taxonomy, knowledge=sparql_info(sparql_endpoint, 100, True, connections))
+
+
 @dataclass
 class SyntacticTransformer:
     """(key, tree) to syntactic vectors."""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -50,10 +55,42 @@ def concept_uris(spark: SparkSession, path: str, extension: str = ".json") -> Da
     return read_concepts(spark, path, extension).select(F.explode("concepts").alias("c")).select(F.col("c.uri").alias("uri")).distinct()
 
 
-def write_concepts(concepts: DataFrame, path: str, force: bool = False) -> None:
-    """SK3, SK6: JSON lines (filename, concepts, nbWords). Without ``force`` documents that are there already are left out."""
-    out = concepts if force else skip_existing(concepts, path)
-    out.write.mode("overwrite" if force else "append").json(path)
+def write_concepts(concepts: DataFrame, path: str, force: bool = False, each: bool = False) -> None:
+    """SK3, SK6: JSON lines (filename, concepts, nbWords), or with ``each`` a file a document. Without ``force`` documents that are there already are left out."""
+    _write(concepts if force else skip_existing(concepts, path), path, force, each)
+
+
+def _write(rows: DataFrame, path: str, force: bool, each: bool, key: str = "filename") -> None:
+    if each:
+        write_each(rows.select(F.col(key).alias("filename"), F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("text")), path, ".json")
+    else:
+        rows.write.mode("overwrite" if force else "append").json(path)
+
+
+def write_each(rows: DataFrame, folder: str, extension: str) -> int:
+    """SK3, SK4, SK7: (filename, text) as a file each in ``folder``, in place of one of that name; returns how many.
+
+    A task writes a file beside its place and then moves it there, so a task that is tried again leaves no half of a file.
+    Rows of one name write one file, either of them; a null name or one with a slash is an error, a null text an empty file.
+    """
+    at, system = _at(rows.sparkSession, folder)
+    system.mkdirs(at)
+    uri = at.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+    uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, place = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not name or "/" in name:
+                    raise ValueError(f"no name of a file: {name}")
+                beside = f"{place}/.{uuid.uuid4().hex}"
+                with target.open_output_stream(beside) as out:
+                    out.write((text or "").encode())
+                target.move(beside, f"{place}/{name}{extension}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("filename", "text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def skip_existing(rows: DataFrame, path: str, extension: str = ".json") -> DataFrame:
@@ -112,10 +149,10 @@ def graph_rows(nodes: DataFrame, links: DataFrame, lengths: DataFrame, key: str
     return out.select(key, F.lit(False).alias("directed"), F.lit(False).alias("multigraph"), "graph", F.coalesce("nodes", F.array().cast(by_node.schema["nodes"].dataType)).alias("nodes"), F.coalesce("links", F.array().cast(by_edge.schema["links"].dataType)).alias("links"))
 
 
-def write_graphs(nodes: DataFrame, links: DataFrame, lengths: DataFrame, path: str, force: bool = False) -> None:
-    """SK4: JSON lines, a graph each, with its filename."""
+def write_graphs(nodes: DataFrame, links: DataFrame, lengths: DataFrame, path: str, force: bool = False, each: bool = False) -> None:
+    """SK4: JSON lines, a graph each, with its filename; with ``each`` a file a graph."""
     rows = graph_rows(nodes, links, lengths)
-    (rows if force else skip_existing(rows, path)).write.mode("overwrite" if force else "append").json(path)
+    _write(rows if force else skip_existing(rows, path), path, force, each)
 
 
 def read_graphs(spark: SparkSession, path: str, extension: str = ".json") -> tuple[DataFrame, DataFrame, DataFrame]:
