@@ -371,8 +371,21 @@ def _scored_by_file(docs: DataFrame, name: str, made: Callable[[np.ndarray], Log
     return docs.mapInArrow(run, SCORED)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, ...: of small or like numbers most of these are runs that compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _from_planes(body: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 def _scored_by_blocks(docs: DataFrame, table: DataFrame, blocks: int, made: Callable[..., LogFrequencyFilter], numbers: Numbers, known, partitions: int) -> DataFrame:
-    """Each chunk's distinct n-grams go to their blocks, and their counts come back to the chunk; hashes are sorted, so that the answers' order is theirs."""
+    """Each chunk's distinct n-grams go to their blocks, and their counts come back to the chunk; hashes are sorted, so that the answers' order is theirs.
+
+    What is left of a chunk, the place of each token among its distinct ones, goes the same way with any block and meets its answers after it, so texts are read once.
+    """
     schema = "chunk long, kind byte, block int, body binary, ids array<long>, n array<long>"
     names = ["chunk", "kind", "block", "body", "ids", "n"]
 
@@ -389,37 +402,42 @@ def _scored_by_blocks(docs: DataFrame, table: DataFrame, blocks: int, made: Call
                 block = LogFrequencyFilter.block(keys, blocks)
                 parts = np.split(keys, np.flatnonzero(np.diff(block)) + 1)
                 yield rows([at] * len(parts), kind, [int(x) for x in block[np.cumsum([0, *map(len, parts[:-1])])]], [x.tobytes() for x in parts])
-            yield rows([at], 2, [-1], [h.tobytes()], batch.column(0).to_pylist(), n.tolist())
+            yield rows([at], 2, [zlib.crc32(str(at).encode()) % blocks], [_planes(ask.back.astype(np.uint32))], batch.column(0).to_pylist(), n.tolist())
             at += len(n)
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
         for batch in batches:
-            for chunk, kind, block, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for i, (chunk, kind, block, body) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
                 if kind < 0:
                     now = (block, made(np.frombuffer(body, np.uint64), block))
-                else:
+                elif kind < 2:
                     h = np.frombuffer(body, np.uint64)
                     found = now[1].counts(h, kind) if now and now[0] == block else np.zeros(len(h))
-                    yield rows([chunk], kind, [block], [found.tobytes()])
+                    # A chunk takes its tokens' hashes from these answers, so they go back with the counts.
+                    yield rows([chunk], kind, [block], [(body if kind == 0 else b"") + _planes(found.astype(float))])
+                else:
+                    yield batch.slice(i, 1)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {0: [], 1: []}
+        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        keys: list[np.ndarray] = []
         for batch in batches:
             for chunk, kind, _, body, ids, n in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if kind < 2:
-                    held[kind].append(body)
+                    half = len(body) // 2 if kind == 0 else 0
+                    keys += [np.frombuffer(body[:half], np.uint64)] if kind == 0 else []
+                    held[kind].append(_from_planes(body[half:], float))
                     continue
-                h, n = np.frombuffer(body, np.uint64), np.array(n, np.int64)
-                one, pairs = (np.frombuffer(b"".join(held[k]), float) for k in (0, 1))
+                h, n = np.concatenate(keys)[_from_planes(body, np.uint32)], np.array(n, np.int64)
+                one, pairs = (np.concatenate(held[k]) if held[k] else np.zeros(0) for k in (0, 1))
                 yield _scores(numbers, known.value, pa.array(ids, pa.int64()), h, n, Ask(h).log10(numbers, one, pairs), chunk)
-                held = {0: [], 1: []}
+                held, keys = {0: [], 1: []}, []
 
-    asked = stored(docs.mapInArrow(asks, schema), "asks")
+    asked = docs.mapInArrow(asks, schema)
     bits = table.select(F.lit(-1).cast("long").alias("chunk"), F.lit(-1).cast("byte").alias("kind"), "block", F.col("bits").alias("body"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("n"))
-    found = asked.filter("kind < 2").unionByName(bits).repartition(partitions, "block").sortWithinPartitions("block", "kind").mapInArrow(answers, schema)
-    both = found.unionByName(asked.filter("kind = 2")).repartition(partitions, "chunk").sortWithinPartitions("chunk", "kind", "block")
-    return both.mapInArrow(scores, SCORED)
+    found = asked.unionByName(bits).repartition(partitions, "block").sortWithinPartitions("block", "kind").mapInArrow(answers, schema)
+    return found.repartition(partitions, "chunk").sortWithinPartitions("chunk", "kind", "block").mapInArrow(scores, SCORED)
 
 
 def _frequent(words: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray]:
