@@ -33,6 +33,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 from math import ceil, log
 
 import numpy as np
@@ -401,23 +402,29 @@ def _scored_by_blocks(docs: DataFrame, table: DataFrame, blocks: int, made: Call
             for kind, keys in ((0, ask.one), (1, ask.pairs)):
                 block = LogFrequencyFilter.block(keys, blocks)
                 parts = np.split(keys, np.flatnonzero(np.diff(block)) + 1)
-                yield rows([at] * len(parts), kind, [int(x) for x in block[np.cumsum([0, *map(len, parts[:-1])])]], [x.tobytes() for x in parts])
+                yield rows([at] * len(parts), kind, [int(x) for x in block[np.cumsum([0, *map(len, parts[:-1])])]], [_planes(np.diff(x, prepend=np.uint64(0))) for x in parts])
             yield rows([at], 2, [zlib.crc32(str(at).encode()) % blocks], [_planes(ask.back.astype(np.uint32))], batch.column(0).to_pylist(), n.tolist())
             at += len(n)
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
         for batch in batches:
-            for i, (chunk, kind, block, body) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+            at = 0
+            for (block, kind), of in groupby(zip(*(batch.column(k).to_pylist() for k in (2, 1, 0, 3)), strict=True), lambda r: r[:2]):
+                chunk, body = zip(*(r[2:] for r in of), strict=True)
                 if kind < 0:
-                    now = (block, made(np.frombuffer(body, np.uint64), block))
+                    now = (block, made(np.frombuffer(body[0], np.uint64), block))
                 elif kind < 2:
-                    h = np.frombuffer(body, np.uint64)
-                    found = now[1].counts(h, kind) if now and now[0] == block else np.zeros(len(h))
+                    # A block answers all chunks of a batch at once.
+                    each = [np.cumsum(_from_planes(x, np.uint64), dtype=np.uint64) for x in body]
+                    h = np.concatenate(each)
+                    found = (now[1].counts(h, kind) if now and now[0] == block else np.zeros(len(h))).astype(float)
+                    back = np.split(found, np.cumsum([len(x) for x in each])[:-1])
                     # A chunk takes its tokens' hashes from these answers, so they go back with the counts.
-                    yield rows([chunk], kind, [block], [(body if kind == 0 else b"") + _planes(found.astype(float))])
+                    yield rows(list(chunk), kind, [block] * len(chunk), [(x if kind == 0 else b"") + _planes(y) for x, y in zip(body, back, strict=True)])
                 else:
-                    yield batch.slice(i, 1)
+                    yield batch.slice(at, len(chunk))
+                at += len(chunk)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {0: [], 1: []}
@@ -426,7 +433,7 @@ def _scored_by_blocks(docs: DataFrame, table: DataFrame, blocks: int, made: Call
             for chunk, kind, _, body, ids, n in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if kind < 2:
                     half = len(body) // 2 if kind == 0 else 0
-                    keys += [np.frombuffer(body[:half], np.uint64)] if kind == 0 else []
+                    keys += [np.cumsum(_from_planes(body[:half], np.uint64), dtype=np.uint64)] if kind == 0 else []
                     held[kind].append(_from_planes(body[half:], float))
                     continue
                 h, n = np.concatenate(keys)[_from_planes(body, np.uint32)], np.array(n, np.int64)
