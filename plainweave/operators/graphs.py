@@ -8,9 +8,11 @@ graphs are built and measured together.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +54,18 @@ def resource_types(found: DataFrame, namespaces: Namespaces = NAMESPACES, key: s
 def edges(found: DataFrame, taxonomy: DataFrame, namespaces: Namespaces = NAMESPACES, key: str = "filename") -> DataFrame:
     """(key, src, dst) with src < dst: resource to type, class to parent, untyped resource to root; each once.
 
-    Self-loops, which only a faulty taxonomy has, are left out.
+    Self-loops, which only a faulty taxonomy has, are left out. ``found`` has a resource of a document once, so its types are told within its row;
+    all edges of a document meet by one shuffle.
     """
-    typed = stored(resource_types(found, namespaces, key), "types")
-    classes = typed.select(key, F.col("type").alias("cls")).distinct()
+    managed = F.array_distinct(F.filter(F.transform("types", lambda x: managed_uri(x, namespaces)), lambda x: x.isNotNull()))
+    empty = F.array().cast("array<string>")
+    typed = stored(found.select(key, "uri", (F.coalesce(managed, empty) if namespaces else empty).alias("classes")), "types")
+    own = typed.select(key, F.col("uri").alias("a"), F.explode(F.when(F.size("classes") > 0, F.col("classes")).otherwise(F.array(F.lit(ROOT)))).alias("b"))
+    classes = stored(typed.select(key, F.explode("classes").alias("cls")).distinct(), "classes")
     closure = stored(ancestors(classes, taxonomy), "closure")
     up = classes.join(closure, "cls").select(key, F.col("child").alias("a"), F.col("parent").alias("b"))
-    untyped = found.select(key, "uri").join(typed.select(key, "uri"), [key, "uri"], "left_anti").select(key, F.col("uri").alias("a"), F.lit(ROOT).alias("b"))
-    pairs = typed.select(key, F.col("uri").alias("a"), F.col("type").alias("b")).unionByName(up).unionByName(untyped)
-    return pairs.filter("a <> b").select(key, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+    pairs = own.unionByName(up).filter("a <> b").select(key, F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    return pairs.repartition(key).distinct()
 
 
 def vertices(found: DataFrame, links: DataFrame, key: str = "filename") -> DataFrame:
@@ -91,7 +96,7 @@ def counts(nodes: DataFrame, links: DataFrame, namespaces: Namespaces = NAMESPAC
     """nbConcepts, nbUniqueConcepts, nbNodes, density, means and deviations, and nbNodes and density by namespace.
 
     A namespace's part has its classes, the root and all resources. Whether an edge lies in it is told by its two ends'
-    URIs and whether they are resources, so one join for each end serves all namespaces.
+    URIs and whether they are resources; a graph's edges are counted in its task.
     """
     resource = F.col("resource")
     member = {k: resource | (F.col("id") == ROOT) | in_namespace(F.col("id"), uri) for k, uri in namespaces}
@@ -104,10 +109,7 @@ def counts(nodes: DataFrame, links: DataFrame, namespaces: Namespaces = NAMESPAC
         F.coalesce(F.sum(if_resource("count")), F.lit(0)).cast("long").alias("nbConcepts"), F.count_if(resource).alias("nbUniqueConcepts"), F.count("*").alias("nbNodes"),
         F.max(if_resource("offset")).alias("maxOffset"), *stats, *[F.count_if(c).alias(f"nbNodes_{k}") for k, c in member.items()],
     )
-    flags = F.array(*member.values()) if member else F.array().cast("array<boolean>")
-    ends = nodes.select(key, "id", flags.alias("in"))
-    joined = links.join(ends.withColumnsRenamed({"id": "src", "in": "in_src"}), [key, "src"]).join(ends.withColumnsRenamed({"id": "dst", "in": "in_dst"}), [key, "dst"])
-    by_edge = joined.groupBy(key).agg(F.count("*").alias("nbEdges"), *[F.count_if(F.col("in_src")[i] & F.col("in_dst")[i]).alias(f"nbEdges_{k}") for i, k in enumerate(member)])
+    by_edge = _edge_sums(nodes, links, namespaces, key).drop("x", "xx", "xy")
     out = by_node.join(by_edge, key, "left")
     zero = F.lit(0).cast("long")
     out = out.withColumn("density", density(F.col("nbNodes"), F.coalesce("nbEdges", zero)))
@@ -128,32 +130,54 @@ def assortativity(links: DataFrame, key: str = "filename") -> DataFrame:
 
     Both ends have the same degrees in all, so that three whole sums give it, whatever the order of the rows.
     """
-    both = links.select(key, "src", "dst").unionByName(links.select(key, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    degrees = both.groupBy(key, "src").agg(F.count("*").alias("degree"))
-    ends = both.join(degrees, [key, "src"]).join(degrees.withColumnsRenamed({"src": "dst", "degree": "other"}), [key, "dst"])
-    whole = lambda x: x.cast("decimal(38,0)")
-    x, y = F.col("degree").cast("decimal(19,0)"), F.col("other").cast("decimal(19,0)")
-    sums = ends.groupBy(key).agg(F.count("*").cast("decimal(19,0)").alias("n"), F.sum(F.col("degree")).cast("decimal(19,0)").alias("x"), whole(F.sum(whole(x * x))).alias("xx"), whole(F.sum(whole(x * y))).alias("xy"))
-    over, under = F.col("n") * F.col("xy") - F.col("x") * F.col("x"), F.col("n") * F.col("xx") - F.col("x") * F.col("x")
+    return _assortativity(_edge_sums(None, links, (), key), key)
+
+
+def _assortativity(sums: DataFrame, key: str) -> DataFrame:
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    n, x = 2 * whole("nbEdges"), whole("x")
+    over, under = n * whole("xy") - x * x, n * whole("xx") - x * x
     return sums.select(key, F.when(under > 0, over.cast("double") / under.cast("double")).alias("assortativity"))
 
 
 def distances(links: DataFrame, key: str = "filename") -> DataFrame:
     """(key, src, dst, d): the length of a shortest path between all nodes of a graph that have one, both ways, and 0 to itself.
 
-    All sources of all graphs go on one step a round, until no node is new. A node whose distance is known isn't entered again. For features alone
-    ``path_features`` is cheaper: it emits no pairs.
+    Searched within the graph's task, 256 sources at a time, each emitted before the next, so no pair is stored or shuffled. ``distance_counts`` and
+    ``path_features`` emit no pairs at all.
     """
-    both = stored(links.select(key, "src", "dst").unionByName(links.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"))), "steps")
-    frontier = stored(both.select(key, "src", F.col("src").alias("dst")).distinct().withColumn("d", F.lit(0)), "distances")
-    seen, d = frontier, 0
-    step = both.select(key, F.col("src").alias("dst"), F.col("dst").alias("next"))
-    while not frontier.isEmpty():
-        d += 1
-        further = frontier.join(step, [key, "dst"]).select(key, "src", F.col("next").alias("dst")).distinct()
-        frontier = stored(further.join(seen, [key, "src", "dst"], "left_anti").withColumn("d", F.lit(d)), "distances")
-        seen = seen.unionByName(frontier)
-    return seen
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in _numbered(batch):
+                names = g.names()
+                for rows, dist in _blocks(g.n, g.src, g.dst):
+                    dst, src = np.nonzero(dist >= 0)
+                    keys = batch.column(0).take(pa.array(np.full(len(src), g.row)))
+                    yield pa.RecordBatch.from_arrays([keys, names.take(pa.array(rows[src])), names.take(pa.array(dst)), pa.array(dist[dst, src], pa.int32())], names=[key, "src", "dst", "d"])
+
+    return _by_graph(None, links, key).mapInArrow(run, f"{key} {_kind(links, key)}, src string, dst string, d int")
+
+
+def distance_counts(links: DataFrame, key: str = "filename") -> DataFrame:
+    """(key, d, pairs): how many pairs of ``distances`` each length has, both ways and with those of a node and itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, lengths, pairs = [], [], []
+            for g in _numbered(batch):
+                n = np.zeros(0, np.int64)
+                for _, dist in _blocks(g.n, g.src, g.dst):
+                    more = np.bincount(dist[dist >= 0])
+                    n, more = (n, more) if len(n) >= len(more) else (more, n)
+                    n[: len(more)] += more
+                at.append(np.full(len(n), g.row))
+                lengths.append(np.arange(len(n)))
+                pairs.append(n)
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(lengths), pa.int64()), pa.array(np.concatenate(pairs), pa.int64())], names=[key, "d", "pairs"])
+
+    return _by_graph(None, links, key).mapInArrow(run, f"{key} {_kind(links, key)}, d long, pairs long")
 
 
 def radius_diameter(paths: DataFrame, key: str = "filename") -> DataFrame:
@@ -179,79 +203,191 @@ def text_density(paths: DataFrame, nodes: DataFrame, lengths: DataFrame, key: st
     return pairs.groupBy(key).agg(F.avg(value).alias("textDensityMean"), F.stddev_pop(value).alias("textDensityStd"))
 
 
-def _paths_of(n: int, src: np.ndarray, dst: np.ndarray, at: np.ndarray, offsets: np.ndarray, size: float) -> tuple[int, int, float | None, float | None]:
-    """Radius, diameter, and mean and deviation of the pair densities of one graph, by breadth-first search from blocks of nodes.
+def _kind(rows: DataFrame, key: str) -> str:
+    return rows.schema[key].dataType.simpleString()
 
-    Pairs are summed as their block is searched, so a graph needs 256 distances a node. Nodes and pairs without a path between them don't count.
-    """
+
+def _by_graph(nodes: DataFrame | None, links: DataFrame, key: str) -> DataFrame:
+    """(key, edges, nodes): a row per graph; without ``nodes`` those of the edges only."""
+    paired = links.groupBy(key).agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    if nodes is None:
+        return paired
+    return nodes.groupBy(key).agg(F.collect_list(F.struct("id", "resource", "offset")).alias("nodes")).join(paired, key, "left").select(key, "edges", "nodes")
+
+
+@dataclass
+class _Graph:
+    """The graph of a batch's ``row``: n nodes, numbered in the order of their names, and its edges by these numbers."""
+
+    row: int
+    n: int
+    src: np.ndarray
+    dst: np.ndarray
+    resource: np.ndarray | None
+    offset: np.ndarray | None
+    codes: np.ndarray
+    words: pa.Array
+
+    def names(self) -> pa.Array:
+        return self.words.take(pa.array(self.codes))
+
+
+@dataclass
+class _Batch:
+    """All graphs of a batch at once: where each one's nodes and edges begin, edges by nodes' places in the batch, nodes by document and name."""
+
+    words: pa.Array
+    codes: np.ndarray
+    first: np.ndarray
+    src: np.ndarray
+    dst: np.ndarray
+    cut: np.ndarray
+    resource: np.ndarray | None
+    offset: np.ndarray | None
+
+
+def _read(batch: pa.RecordBatch) -> _Batch:
+    rows = batch.num_rows
+
+    def flat(column: pa.Array) -> tuple[pa.StructArray, np.ndarray]:
+        return column.flatten(), np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+
+    edges, at_edge = flat(batch.column(1))
+    parts = [pc.struct_field(edges, "src"), pc.struct_field(edges, "dst")]
+    own = None
+    if batch.num_columns > 2:
+        own, at_node = flat(batch.column(2))
+        parts.append(pc.struct_field(own, "id"))
+    coded = pa.concat_arrays([x.cast(pa.string()) for x in parts]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    k, e = max(len(order), 1), len(at_edge)
+    src, dst = at_edge * k + code[:e], at_edge * k + code[e : 2 * e]
+    resource = offset = None
+    if own is None:
+        places = np.unique(np.concatenate([src, dst]))
+    else:
+        places = at_node * k + code[2 * e :]
+        sort = np.argsort(places, kind="stable")
+        places = places[sort]
+        resource = pc.struct_field(own, "resource").to_numpy(zero_copy_only=False).astype(bool)[sort]
+        offset = pc.struct_field(own, "offset").cast(pa.float64()).to_numpy(zero_copy_only=False)[sort]
+    first = np.searchsorted(places, np.arange(rows + 1) * k)
+    return _Batch(coded.dictionary.take(pa.array(order)), places % k, first, np.searchsorted(places, src), np.searchsorted(places, dst), np.searchsorted(at_edge, np.arange(rows + 1)), resource, offset)
+
+
+def _numbered(batch: pa.RecordBatch) -> Iterator[_Graph]:
+    b = _read(batch)
+    for row in range(batch.num_rows):
+        lo, hi = b.first[row], b.first[row + 1]
+        e = slice(b.cut[row], b.cut[row + 1])
+        yield _Graph(row, int(hi - lo), b.src[e] - lo, b.dst[e] - lo, None if b.resource is None else b.resource[lo:hi], None if b.offset is None else b.offset[lo:hi], b.codes[lo:hi], b.words)
+
+
+def _edge_sums(nodes: DataFrame | None, links: DataFrame, namespaces: Namespaces, key: str) -> DataFrame:
+    """(key, nbEdges, x, xx, xy, nbEdges_<namespace>): edges, those with both ends in a namespace's part, and of the degrees at the ends, edges taken both ways,
+    the sum, that of squares and that of products. Whole numbers; a batch of graphs at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _read(batch)
+            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[b.cut])  # noqa: B023, E731
+            degree = np.bincount(np.concatenate([b.src, b.dst]), minlength=b.first[-1])
+            s, d = degree[b.src], degree[b.dst]
+            out = [np.diff(b.cut), total(s + d), total(s * s + d * d), total(2 * s * d)]
+            for _, uri in namespaces:
+                listed = pc.or_(pc.starts_with(b.words, uri), pc.equal(b.words, ROOT)).to_numpy(zero_copy_only=False)
+                member = b.resource | listed[b.codes]
+                out.append(total((member[b.src] & member[b.dst]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out]], names=[key, *names])
+
+    names = ["nbEdges", "x", "xx", "xy", *[f"nbEdges_{k}" for k, _ in namespaces]]
+    out = _by_graph(nodes, links, key).mapInArrow(run, f"{key} {_kind(links, key)}, " + ", ".join(f"`{n}` long" for n in names))
+    return out.filter("nbEdges > 0")
+
+
+def _blocks(n: int, src: np.ndarray, dst: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Breadth-first search from 256 nodes at a time: these, and the distances of all nodes (rows) from them (columns), -1 without a path."""
     to = np.concatenate([dst, src])
     order = np.argsort(np.concatenate([src, dst]), kind="stable")
     to = to[order]
     degree = np.bincount(np.concatenate([src, dst]), minlength=n)
     begin = np.cumsum(degree) - degree
     some = np.flatnonzero(degree)
-    reach = np.zeros(n, np.int64)
-    known = bool(size) and not np.isnan(size)
-    place = np.full(n, -1)
-    place[at] = np.arange(len(at))
-    mean = squares = 0.0
-    pairs = 0
     for lo in range(0, n, 256):
         rows = np.arange(lo, min(n, lo + 256))
-        dist = np.full((n, len(rows)), -1, np.int16)
+        dist = np.full((n, len(rows)), -1, np.int32)
         dist[rows, np.arange(len(rows))] = 0
         front = dist == 0
         d = 0
-        while front.any():
+        while len(some) and front.any():
             d += 1
             entered = np.zeros_like(front)
             entered[some] = np.logical_or.reduceat(front[to], begin[some], axis=0)
             front = entered & (dist < 0)
             dist[front] = d
+        yield rows, dist
+
+
+def _paths_of(n: int, src: np.ndarray, dst: np.ndarray, at: np.ndarray, offsets: np.ndarray, size: float) -> tuple[int, int, float | None, float | None]:
+    """Radius, diameter, and mean and deviation of the pair densities of one graph, by breadth-first search from blocks of nodes.
+
+    Pairs are summed as their block is searched, so a graph needs 256 distances a node. Nodes and pairs without a path between them don't count.
+    """
+    reach = np.zeros(n, np.int64)
+    known = bool(size) and not np.isnan(size)
+    place = np.full(n, -1)
+    place[at] = np.arange(len(at))
+    mean = squares = 0.0
+    pairs = 0
+    for rows, dist in _blocks(n, src, dst):
         reach[rows] = dist.max(axis=0)
-        for column in np.flatnonzero(place[rows] >= 0) if known else ():
-            i = place[rows[column]]
-            further = dist[at[i + 1 :], column].astype(float)
-            met = further >= 0
-            value = (((offsets[i + 1 :] - offsets[i]) / size) ** 2 * np.sqrt(np.maximum(further, 0)))[met]
-            if k := len(value):
-                # Mean and squared deviations of both parts together.
-                apart = value.mean() - mean
-                squares += ((value - value.mean()) ** 2).sum() + apart * apart * pairs * k / (pairs + k)
-                mean += apart * k / (pairs + k)
-                pairs += k
+        columns = np.flatnonzero(place[rows] >= 0)
+        if not known or not len(columns):
+            continue
+        i = place[rows[columns]]
+        further = dist[np.ix_(at, columns)]
+        value = ((offsets[:, None] - offsets[i]) / size) ** 2 * np.sqrt(np.maximum(further, 0))
+        value = value[(np.arange(len(at))[:, None] > i) & (further >= 0) & ~np.isnan(value)]
+        if k := len(value):
+            # Mean and squared deviations of both parts together.
+            apart = value.mean() - mean
+            squares += ((value - value.mean()) ** 2).sum() + apart * apart * pairs * k / (pairs + k)
+            mean += apart * k / (pairs + k)
+            pairs += k
     radius, diameter = int(reach.min()), int(reach.max())
     if not pairs:
         return radius, diameter, None, None
     return radius, diameter, float(mean / np.sqrt(max(diameter, 1))), float(np.sqrt(squares / pairs / max(diameter, 1)))
 
 
-def path_features(nodes: DataFrame, links: DataFrame, lengths: DataFrame, key: str = "filename") -> DataFrame:
-    """(key, radius, diameter, textDensityMean, textDensityStd), a graph at a time.
+def path_features(nodes: DataFrame, links: DataFrame, lengths: DataFrame | None, key: str = "filename") -> DataFrame:
+    """(key, radius, diameter, textDensityMean, textDensityStd), a graph at a time; without ``lengths`` by the largest offset.
 
     Each graph is one row of arrays, its nodes numbered in it; no pair of nodes leaves the task. Graphs are as large as a document's
     concepts, which is what bounds a row.
     """
-    numbered = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "resource", "offset"))).alias("nodes"))
-    paired = links.groupBy(key).agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
-    graphs = numbered.join(paired, key, "left").join(lengths.select(key, F.col("nbWord").cast("double").alias("size")), key, "left")
+    graphs = _by_graph(nodes, links, key)
+    if lengths is None:
+        graphs = graphs.withColumn("size", F.lit(None).cast("double"))
+    else:
+        graphs = graphs.join(lengths.select(key, F.col("nbWord").cast("double").alias("size")), key, "left")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for name, nodes_, edges_, size in zip(frame[key], frame["nodes"], frame["edges"], frame["size"], strict=True):
-                number = {x["id"]: i for i, x in enumerate(nodes_)}
-                pairs = np.array([(number[e["src"]], number[e["dst"]]) for e in (edges_ if edges_ is not None else ())], np.int64).reshape(-1, 2)
-                at = np.array([i for i, x in enumerate(nodes_) if x["resource"]], np.int64)
-                offsets = np.array([nodes_[i]["offset"] if nodes_[i]["offset"] is not None else np.nan for i in at], float)
+            for g, size in zip(_numbered(batch), batch.column(3).to_pylist(), strict=True):
+                at = np.flatnonzero(g.resource)
+                offsets = g.offset[at]
                 if size is None or np.isnan(size):
                     size = np.nanmax(offsets) if len(offsets) and not np.isnan(offsets).all() else float("nan")
-                radius, diameter, mean, std = _paths_of(len(nodes_), pairs[:, 0], pairs[:, 1], at, offsets, size)
-                rows.append((name, radius, diameter, mean, std))
-            yield pd.DataFrame(rows, columns=[key, "radius", "diameter", "textDensityMean", "textDensityStd"])
+                rows.append(_paths_of(g.n, g.src, g.dst, at, offsets, size))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=[key, "radius", "diameter", "textDensityMean", "textDensityStd"])
 
-    kind = nodes.schema[key].dataType.simpleString()
-    return graphs.mapInPandas(run, f"{key} {kind}, radius long, diameter long, textDensityMean double, textDensityStd double")
+    return graphs.mapInArrow(run, f"{key} {_kind(nodes, key)}, radius long, diameter long, textDensityMean double, textDensityStd double")
 
 
 def semantic_vectors(nodes: DataFrame, links: DataFrame, lengths: DataFrame, namespaces: Namespaces = NAMESPACES, key: str = "filename", native: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
+import os
 import random
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from statistics import fmean, pstdev
 
 import pytest
@@ -175,3 +176,15 @@ def test_deep_taxonomy_is_complete(spark):
     depth = 40
     tax = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(depth)], "cls string, parent string")
     assert ontology.ancestors(spark.createDataFrame([("c0",)], "cls string"), tax).count() == depth + 1
+
+
+def test_distances_store_nothing(spark):
+    """Pairs of nodes are neither stored nor shuffled, and their numbers by length are those of the pairs."""
+    rows = [(k, f"n{a}", f"n{b}") for k in ("a", "b") for a, b in ((1, 2), (2, 3), (3, 4), (2, 5), (7, 8))] + [("c", f"m{i:03}", "z") for i in range(300)]
+    links = spark.createDataFrame(rows, "filename string, src string, dst string").repartition(3)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    pairs = Counter((r["filename"], r["d"]) for r in graphs.distances(links).collect())
+    assert set(os.listdir(folder)) == before
+    assert pairs == {(k, d): n for k in ("a", "b") for d, n in ((0, 7), (1, 10), (2, 8), (3, 4))} | {("c", 0): 301, ("c", 1): 600, ("c", 2): 300 * 299}
+    assert {(r["filename"], r["d"]): r["pairs"] for r in graphs.distance_counts(links).collect()} == pairs
