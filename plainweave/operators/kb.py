@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -40,16 +43,29 @@ def concept_info(uris: DataFrame, triples: DataFrame) -> DataFrame:
     """(uri, types, nb_links_in, nb_links_out) for each of ``uris``; no type is an empty array, no link 0.
 
     Both link counts come from one pass over the triples and one shuffle of sums by URI; a hub's triples are summed in their tasks,
-    and only one row of a URI is joined.
+    and only one row of a URI is joined. Ends that no wanted URI can equal, by what stands before its last slash, are passed over where they are read.
     """
-    ends = F.array(F.struct(F.col("s").alias("uri"), F.lit(False).alias("incoming")), F.when(F.col("o_kind") != "literal", F.struct(F.col("o").alias("uri"), F.lit(True).alias("incoming"))))
-    each = triples.select(F.explode(ends).alias("e")).filter("e IS NOT NULL").select("e.uri", "e.incoming")
+    triples = triples.select("s", "p", "o", "o_kind")
+    wanted = _beginnings(uris)
+    own, other = wanted(F.col("s")), wanted(F.col("o"))
+    linked = other & (F.col("o_kind") != "literal")
+    ends = F.array(F.when(own, F.struct(F.col("s").alias("uri"), F.lit(False).alias("incoming"))), F.when(linked, F.struct(F.col("o").alias("uri"), F.lit(True).alias("incoming"))))
+    each = triples.filter(own | linked).select(F.explode(ends).alias("e")).filter("e IS NOT NULL").select("e.uri", "e.incoming")
     links = each.groupBy("uri").agg(F.count_if("incoming").alias("nb_links_in"), F.count_if(~F.col("incoming")).alias("nb_links_out"))
-    out = distinct_uris(uris).join(links, "uri", "left").join(entity_types(triples), "uri", "left")
+    out = distinct_uris(uris).join(links, "uri", "left").join(entity_types(triples.filter(own)), "uri", "left")
     zero = F.lit(0).cast("long")
     return out.select("uri", F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.coalesce("nb_links_in", zero).alias("nb_links_in"), F.coalesce("nb_links_out", zero).alias("nb_links_out"))
 
 
+def _beginnings(uris: DataFrame, most: int = 100) -> Callable[[Column], Column]:
+    """Whether a term begins like one of ``uris`` (uri) up to its last slash; always true if they begin in more than ``most`` ways."""
+    name = F.length(F.substring_index("uri", "/", -1))
+    found = [r[0] for r in uris.select(F.left("uri", F.length("uri") - name).alias("b")).filter("b IS NOT NULL").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        return lambda term: F.lit(True)
+    return lambda term: reduce(lambda a, b: a | b, [F.startswith(term, F.lit(b)) for b in found], F.lit(False))
+
+
 def number_of_types(info: DataFrame) -> DataFrame:
     """A5: all types of all entities, counted."""
     return info.agg(F.coalesce(F.sum(F.size("types")), F.lit(0)).cast("long").alias("nb_types"))

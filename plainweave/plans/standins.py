@@ -5,8 +5,12 @@ They are deterministic, and ``plainweave.plans.oracle`` has the same in SQL.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from plainweave.operators.kb import RDF_TYPE, SUBCLASS_OF
 
 #: A word is in the gazetteer by a rule on itself: of LETTERS letters or more, and of its hash's first byte below SHARE.
 LETTERS, SHARE = 8, 24
+#: What can be such a word with all else that stands between spaces, and how many of them a task remembers.
+LONG, MOST_KNOWN = re.compile("[^ ]{%d,}" % LETTERS), 200_000
 SIZES = {1: 4, 2: 12, 3: 40}
 
 #: One tree for each pattern and one for each of its negations. Fixed values.
@@ -61,21 +67,47 @@ def uri(w: Column) -> Column:
     return F.concat(F.lit("http://dbpedia.org/resource/"), w)
 
 
-def _number(w: Column, first: int, digits: int) -> Column:
-    return F.conv(F.substring(F.md5(w), first, digits), 16, 10).cast("long")
+def _listed(token: str) -> tuple[str, int] | None:
+    """The token's word and number if the word is in the gazetteer."""
+    w = re.sub("[^A-Za-z]", "", token).lower()
+    if len(w) < LETTERS:
+        return None
+    h = hashlib.md5(w.encode(), usedforsecurity=False).digest()
+    return (w, h[1] * 256 + h[2]) if h[0] < SHARE else None
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ord, offset, uri, types, rk): the words of all texts that are in the gazetteer. One in four has types from the annotator, managed ones and others.
 
-    The words are picked within the text's own row; the place of one is the length of what stands before it.
+    The words are picked within the text's own row, in one pass; what a word's hash says is kept from one text to the next.
     """
-    long = F.filter(F.transform(F.split("text", " ", -1), lambda x, i: F.struct(i.alias("ord"), x.alias("x"))), lambda t: F.length(t["x"]) >= LETTERS)
-    bare = F.transform(long, lambda t: F.struct(t["ord"].alias("ord"), F.lower(F.regexp_replace(t["x"], "[^A-Za-z]", "")).alias("w")))
-    hits = F.filter(bare, lambda t: F.when(F.length(t["w"]) >= LETTERS, _number(t["w"], 1, 2) < SHARE).otherwise(F.lit(False)))
-    rows = documents(spark, sf_dir).select("doc_id", "text", F.inline(hits))
-    offset = F.when(F.col("ord") == 0, F.lit(0)).otherwise(F.length(F.call_function("substring_index", F.col("text"), F.lit(" "), F.col("ord"))) + 1)
-    rows = rows.select("doc_id", F.col("ord").cast("long").alias("ord"), offset.cast("long").alias("offset"), "w", _number(F.col("w"), 3, 4).alias("rk"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, int] | None] = {}
+        for batch in batches:
+            at, places, offsets, names, ranks = [], [], [], [], []
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                place = seen = 0
+                for m in LONG.finditer(text):
+                    token = m.group()
+                    if token not in known:
+                        if len(known) >= MOST_KNOWN:
+                            known.clear()
+                        known[token] = _listed(token)
+                    if hit := known[token]:
+                        place += text.count(" ", seen, m.start())
+                        seen = m.start()
+                        at.append(row)
+                        places.append(place)
+                        offsets.append(seen)
+                        names.append(hit[0])
+                        ranks.append(hit[1])
+            long = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(long(at)), long(places), long(offsets), pa.array(names, pa.string()), long(ranks)], names=["doc_id", "ord", "offset", "w", "rk"])
+
+    docs = documents(spark, sf_dir)
+    rows = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ord long, offset long, w string, rk long")
     own = F.array(F.concat(F.lit("Schema:C3_"), (F.col("rk") % 40).cast("string")), F.lit("Unknown:Thing"))
     types = F.when(F.col("rk") % 4 == 0, own).otherwise(F.array().cast("array<string>"))
     return rows.select("doc_id", "ord", "offset", uri(F.col("w")).alias("uri"), types.alias("types"), "rk")

@@ -7,6 +7,7 @@ import pytest
 
 from plainweave.functions.namespaces import ROOT
 from plainweave.operators import graphs, kb, mentions, ontology
+from plainweave.operators.kb import RDF_TYPE
 
 D, S = "http://dbpedia.org/ontology/", "http://schema.org/"
 
@@ -188,3 +189,17 @@ def test_distances_store_nothing(spark):
     assert set(os.listdir(folder)) == before
     assert pairs == {(k, d): n for k in ("a", "b") for d, n in ((0, 7), (1, 10), (2, 8), (3, 4))} | {("c", 0): 301, ("c", 1): 600, ("c", 2): 300 * 299}
     assert {(r["filename"], r["d"]): r["pairs"] for r in graphs.distance_counts(links).collect()} == pairs
+
+
+def test_link_counts_pass_over_other_ends(spark):
+    """Ends that begin like no wanted URI don't reach the shuffle; with too many beginnings all do, with the same counts."""
+    rows = [("http://a/x", "p", "http://b/1", "iri"), ("http://b/1", "p", "http://a/x", "iri"), ("http://b/1", "p", "http://a/x", "literal"), ("http://b/1", RDF_TYPE, "http://a/x", "iri"), ("x", "p", "x", "iri")]
+    triples = spark.createDataFrame(rows, "s string, p string, o string, o_kind string")
+    few = spark.createDataFrame([("http://a/x",), ("http://a/y",), ("x",), (None,)], "uri string")
+    many = few.unionByName(spark.range(200).selectExpr("concat('http://c', id, '/') AS uri"))
+    got = kb.concept_info(few.filter("uri LIKE 'http%'"), triples)
+    assert "startswith" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = {"http://a/x": ([], 2, 1), "http://a/y": ([], 0, 0), "x": ([], 1, 1), None: ([], 0, 0)}
+    for uris in (few, many):
+        out = {r["uri"]: tuple(r)[1:] for r in kb.concept_info(uris, triples).collect()}
+        assert {k: out[k] for k in want} == want
