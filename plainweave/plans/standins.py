@@ -10,12 +10,14 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainweave.functions.namespaces import NAMESPACES
 from plainweave.operators.kb import RDF_TYPE, SUBCLASS_OF
+from plainweave.operators.lexical import by_document
 
 #: A word is in the gazetteer by a rule on itself: of LETTERS letters or more, and of its hash's first byte below SHARE.
 LETTERS, SHARE = 8, 24
@@ -172,6 +174,50 @@ def tagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("pos", tag(F.col("word")))
 
 
+#: Letters in lower case, and the bytes that are neither letters, digits nor spaces.
+LOWER = bytes(range(256)).lower()
+OTHER = bytes(b for b in range(256) if not (chr(b).isascii() and chr(b).isalnum()) and b != 32)
+
+
+def tagged_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, words, tags): ``tagged_tokens`` as arrays, a row per document that has a token. Rows of one doc_id, if there are any, are one document."""
+    docs = documents(spark, sf_dir)
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return by_document(tagged_tokens(spark, sf_dir), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                lines = [(x or b"").translate(LOWER, OTHER) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
+                cut = (data == 32) | (data == 10)
+                ends = np.flatnonzero(cut)
+                sizes = np.diff(ends, prepend=-1) - 1
+                last = data[ends] == 10
+                some = sizes > 0
+                counts = np.bincount((np.cumsum(last) - last)[some], minlength=part.num_rows)
+                places = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
+                words = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data[~cut].tobytes()))
+                coded = words.dictionary_encode()
+                tags = pa.array([_tag(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+                full = np.flatnonzero(counts)
+                bounds = pa.array(np.concatenate([[0], np.cumsum(counts[full])]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), pa.ListArray.from_arrays(bounds, words), pa.ListArray.from_arrays(bounds, tags)], names=["doc_id", "words", "tags"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>, tags array<string>")
+
+
+def _tag(w: str) -> str:
+    """``tag`` of a word."""
+    if w.isdigit():
+        return "cd"
+    for ends, pos in ((("us",), ","), (("is",), "sent"), (("ar",), "sym"), (("ly",), "rb"), (("ing", "ed"), "vb"), (("tion", "er", "st"), "nn")):
+        if w.endswith(ends):
+            return pos
+    return "dt" if len(w) <= 3 else "jj" if w.endswith(("le", "ent")) else "nn"
+
+
 def tag(word: Column) -> Column:
     ends = lambda *x: reduce(lambda a, b: a | b, [F.endswith(word, F.lit(e)) for e in x])
     return (
@@ -185,6 +231,11 @@ def word_list(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy(F.col("word").alias("lemma")).agg(F.count("*").alias("freq"), F.bool_or((F.col("pos") == "jj") | (F.length("word") % 4 == 0)).alias("is_adj"))
 
 
+def counted_list(counted: DataFrame) -> DataFrame:
+    """``word_list`` from ``lexical.word_counts``."""
+    return counted.groupBy(F.col("word").alias("lemma")).agg(F.sum("n").alias("freq"), F.bool_or((F.col("pos") == "jj") | (F.length("word") % 4 == 0)).alias("is_adj"))
+
+
 def trees(spark: SparkSession, n: int = 40) -> DataFrame:
     """(doc_id, tree): n documents of some of TREES each."""
     items = F.array(*[F.lit(t) for t in TREES])

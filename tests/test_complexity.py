@@ -1,11 +1,12 @@
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 from statistics import fmean
 
 import pytest
 
 from plainweave.operators import lexical, syntactic
+from plainweave.plans import standins
 from plainweave.plans.standins import TREES
 
 TAGS = ["nn", "dt", "vb", "rb", "jj", "cd", ",", "-lrb-", "sym", "rp"]
@@ -201,3 +202,34 @@ def test_ranks_of_all_words_and_long_lists(spark, monkeypatch):
     sent = sorted(map(tuple, lexical.classified(tagged, words, rank_limit=40).collect()))
     monkeypatch.setattr(lexical, "MOST_SENT", 10)
     assert sorted(map(tuple, lexical.classified(tagged, words, rank_limit=40).collect())) == sent
+
+
+def test_whole_documents_measure_as_rows_do(spark, monkeypatch):
+    """Documents measured in their rows, and by rows of tokens where the lists are too long to be held, have the same figures."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}{'ly' if i % 3 == 0 else ''}" for i in range(60)] + ["be", "have", "--", "é", ""]
+    tokens = [(k, i, rng.choice(vocabulary), rng.choice([*TAGS, "--"])) for k, n in enumerate((1, 9, 10, 11, 35, 90)) for i in range(n)]
+    tagged = spark.createDataFrame(tokens, "doc_id long, idx int, word string, pos string").repartition(3)
+    words = spark.createDataFrame([(f"w{i}", 1 + i % 7, i % 4 == 0) for i in range(60)] + [("w9ly", 2, True)], "lemma string, freq long, is_adj boolean")
+    docs = lexical.by_document(tagged, "doc_id").cache()
+    whole = sorted(map(tuple, lexical.measures(docs, words, "doc_id", 20, 10).select("doc_id", *(names := ["sentences", *[f"{c}{x}" for x in ("types", "tokens") for c in lexical.CLASSES], "n", "ndw", "ndwz", "ndwerz", "ndwesz", "msttr"])).collect()))
+    monkeypatch.setattr(lexical, "MOST_HELD", 1)
+    rows = sorted(map(tuple, lexical.measures(docs, words, "doc_id", 20, 10).select("doc_id", *names).collect()))
+    assert len(whole) == len(rows) == 6
+    for a, b in zip(whole, rows, strict=True):
+        assert a == pytest.approx(b)
+    by_tag = Counter((k, p) for k, _, _, p in tokens)
+    first = {t: min(w.encode() for k, _, w, p in tokens if (k, p) == t).decode() for t in by_tag}
+    assert {(r["doc_id"], r["pos"]): (r["n"], r["first"]) for r in lexical.tag_counts(docs, "doc_id").collect()} == {t: (n, first[t]) for t, n in by_tag.items()}
+
+
+def test_tagged_documents_are_the_tagged_tokens(spark, tmp_path):
+    texts = [(1, "Be  was,\n12 é'us Trees-tion\tgo "), (2, None), (3, "  "), (4, "ärly X"), (None, "the ending"), (5, "a" * 9 + " is 7")]
+    for name, rows in (("once", texts), ("twice", [*texts, (1, "once more")])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        want = defaultdict(list)
+        for r in standins.tagged_tokens(spark, folder).collect():
+            want[r["doc_id"]].append((r["idx"], r["word"], r["pos"]))
+        got = {r["doc_id"]: sorted(zip(r["words"], r["tags"], strict=True)) for r in standins.tagged_docs(spark, folder).collect()}
+        assert got == {k: sorted(x[1:] for x in v) for k, v in want.items()}
