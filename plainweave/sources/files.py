@@ -209,6 +209,13 @@ def tagged_tokens(docs: DataFrame, key: str = "filename") -> DataFrame:
     return split_tags(rows).drop("token")
 
 
+def tagged_docs(docs: DataFrame, key: str = "filename") -> DataFrame:
+    """(key, words, tags): ``tagged_tokens`` as arrays, a row per text."""
+    low = F.transform(F.filter(F.split("text", r"\s+"), lambda x: x != ""), lambda x: F.lower(F.trim(x)))
+    part = lambda k: F.transform("low", lambda x: F.split_part(x, F.lit("_"), F.lit(k)))
+    return docs.select(key, F.explode(F.array(low)).alias("low")).select(key, part(1).alias("words"), part(-1).alias("tags"))
+
+
 def read_trees(spark: SparkSession, path: str, extension: str = ".txt") -> DataFrame:
     """SC18: (filename, tree) from files of Penn bracketings as a parser writes them."""
     return _whole(spark, path, extension).withColumnRenamed("text", "tree")
