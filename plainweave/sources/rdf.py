@@ -31,11 +31,13 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """SC9: (s, p, o, o_kind), a triple a line, with built-in functions; other lines are left out, literals stay as they are written."""
     rows = spark.read.text(path)
     s, p, o = (F.regexp_extract("value", _LINE, k) for k in (1, 2, 3))
-    iri = lambda c: F.when(F.startswith(c, F.lit("<")), _decoded(F.regexp_extract(c, "^<(.*)>$", 1))).otherwise(c)
+    iri = lambda c: F.when(F.startswith(c, F.lit("<")), _decoded(F.substr(c, F.lit(2), F.length(c) - 2))).otherwise(c)
     literal = F.startswith("o", F.lit('"'))
     kind = F.when(literal, F.lit("literal")).when(F.startswith("o", F.lit("_:")), F.lit("bnode")).otherwise(F.lit("iri"))
-    found = rows.select(s.alias("s"), p.alias("p"), o.alias("o")).filter("p <> ''")
-    return found.select(iri(F.col("s")).alias("s"), _decoded(F.col("p")).alias("p"), F.when(literal, F.regexp_extract("o", r'^"(.*)"[^"]*$', 1)).otherwise(iri(F.col("o"))).alias("o"), kind.alias("o_kind"))
+    # As an array's only element, so that the filter doesn't take the line apart again.
+    found = rows.select(F.explode(F.array(F.struct(s.alias("s"), p.alias("p"), o.alias("o")))).alias("t")).select("t.*").filter("p <> ''")
+    text = F.substr("o", F.lit(2), F.length("o") - F.length(F.substring_index("o", '"', -1)) - 2)
+    return found.select(iri(F.col("s")).alias("s"), _decoded(F.col("p")).alias("p"), F.when(literal, text).otherwise(iri(F.col("o"))).alias("o"), kind.alias("o_kind"))
 
 
 _TOKEN = re.compile(

@@ -118,3 +118,10 @@ def test_a_document_whose_text_names_a_filename(spark, tmp_path):
     (tmp_path / "c").mkdir()
     (tmp_path / "c/a.json").write_text(json.dumps({"concepts": [{"uri": "u", "types": [], "scores": {"offset": 1, "surfaceForm": '"filename"'}}], "nbWords": 4}))
     assert [(r["filename"], r["nbWords"]) for r in files.read_concepts(spark, str(tmp_path / "c")).collect()] == [("a", 4)]
+
+
+def test_ntriples_with_odd_terms(spark, tmp_path):
+    """An IRI is kept whole whatever characters it has, and a literal ends at its last quote."""
+    (tmp_path / "a.nt").write_text('<a b> <p> "x"y"@en .\n<a> <p> "" .\n<a> <p> "1"^^<t> .\n_:b <p> <> .\n', encoding="utf-8")
+    got = sorted(map(tuple, rdf.read_ntriples(spark, str(tmp_path / "a.nt")).collect()))
+    assert got == sorted([("a b", "p", 'x"y', "literal"), ("a", "p", "", "literal"), ("a", "p", "1", "literal"), ("_:b", "p", "", "iri")])
