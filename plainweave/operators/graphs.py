@@ -394,7 +394,7 @@ def semantic_vectors(nodes: DataFrame, links: DataFrame, lengths: DataFrame, nam
     """One row per document of ``lengths`` (key, nbWord): FEATURES and two features a namespace.
 
     A document without a concept has 0 concepts and nodes, radius, diameter, text density and assortativity 0, and density 1.
-    ``native`` takes path lengths from DataFrame joins rather than from searches within a task. An unknown number of words is -1, also in the ratios.
+    ``native`` takes path features from the rows of ``distances``. An unknown number of words is -1, also in the ratios.
     """
     if native:
         paths = distances(links, key)
