@@ -193,10 +193,20 @@ class Ask:
         return np.log10(numbers.probability(each, before, pairs[self.again]))
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    h, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    keys, back = np.unique(h, return_inverse=True)
-    return keys, np.bincount(back, c, len(keys)).astype(np.int64)
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]], ranges: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct hashes of ``parts``, each sorted, and the sums of their counts: a range of hashes at a time, so that what the sums need is small beside the parts."""
+    if not parts:
+        return
+    bounds = np.arange(1, ranges, dtype=np.uint64) << np.uint64(65 - ranges.bit_length())
+    cuts = [[0, *np.searchsorted(h, bounds), len(h)] for h, _ in parts]
+    for k in range(ranges):
+        h, c = (np.concatenate([part[i][at[k] : at[k + 1]] for part, at in zip(parts, cuts, strict=True)]) for i in (0, 1))
+        if not len(h):
+            continue
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        first = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+        yield h[first], np.add.reduceat(c, first, dtype=np.int64)
 
 
 def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,24 +228,22 @@ def count(docs: DataFrame, partitions: int) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for kind, parts in held.items():
-                if parts:
-                    h, c = _summed(parts)
-                    parts.clear()
-                    for lo in range(0, len(h), 100_000):
-                        x = h[lo : lo + 100_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x.view(np.int64)), pa.array(c[lo : lo + 100_000])], names=["kind", "h", "c"])
+                for h, c in _summed(parts):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(c)], names=["kind", "h", "c"])
+                parts.clear()
 
         rows = 0
         for _, data, offsets in chunks(_train_batches(batches)):
             h, _ = tokens(data, offsets)
             for kind, x in ((0, h), (1, bigram(predecessors(h), h))):
                 keys, c = np.unique(x, return_counts=True)
-                held[kind].append((keys, c))
+                held[kind].append((keys, c.astype(np.int32)))
                 rows += len(keys)
             if rows > _HELD_ROWS:
                 yield from out()
                 rows = 0
         yield from out()
+        tidy()
 
     parts = docs.select("doc_id", "text").mapInArrow(run, "kind byte, h long, c long")
     block = F.shiftrightunsigned("h", 65 - block_count(partitions).bit_length()).cast("int").alias("block")
@@ -287,6 +295,8 @@ def build(counts: DataFrame, blocks: int, probes: int) -> tuple[DataFrame, int]:
                     now.put(grams[at], tag, of)
         if now is not None:
             yield out(now)
+        now = None
+        tidy()
 
     made = counts.select("block", "kind", "h", "c").sortWithinPartitions("block", "kind").mapInArrow(run, "block int, bits binary, mistakes double")
     return stored(made, "filter"), lines

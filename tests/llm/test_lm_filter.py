@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -131,3 +132,23 @@ def test_probabilities_add_up_to_one(spark):
         unknown = numbers.probability(np.zeros(1), c[k : k + 1], np.zeros(1))[0]
         assert p.sum() + unknown == pytest.approx(1, abs=0.01)
     assert numbers.probability(c, np.zeros(len(c)), np.zeros(len(c))).sum() == pytest.approx(1 - numbers.unigram(np.zeros(1))[0])
+
+
+def test_counts_are_summed_in_little_memory():
+    rng = np.random.default_rng(5)
+    parts, want = [], Counter()
+    for _ in range(8):
+        h, c = np.unique(rng.integers(0, 200_000, 150_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_counts=True)
+        parts.append((h, c.astype(np.int32)))
+        want.update(dict(zip(h.tolist(), c.tolist(), strict=True)))
+    held = sum(h.nbytes + c.nbytes for h, c in parts)
+    tracemalloc.start()
+    for _ in lm_scoring._summed(parts):
+        pass
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < held / 2
+    found = [(h, c) for h, c in lm_scoring._summed(parts)]
+    keys = np.concatenate([h for h, _ in found])
+    assert (np.diff(keys.astype(object)) > 0).all() and dict(zip(keys.tolist(), np.concatenate([c for _, c in found]).tolist(), strict=True)) == want
+    assert list(lm_scoring._summed([])) == []
