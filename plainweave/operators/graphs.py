@@ -77,6 +77,99 @@ def vertices(found: DataFrame, links: DataFrame, key: str = "filename") -> DataF
     return both.groupBy(key, "id").agg(F.bool_or("resource").alias("resource"), *[F.max(a).alias(a) for a in attributes])
 
 
+def built(found: DataFrame, taxonomy: DataFrame, namespaces: Namespaces = NAMESPACES, key: str = "filename", most: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) as ``vertices`` and ``edges`` make them, from one stored table with a row per graph, which both are read from.
+
+    Only the resources are shuffled, once, to their document's task. What the distinct types say, the class and the edges above it, goes to all tasks; if these edges
+    are more than ``most``, the graphs are built by joins. What takes both tables later on (features, files) finds the rows of graphs by the tables' ``graphs`` and shuffles no node or edge.
+    """
+    refs = stored(found.select(F.explode("types").alias("ref")).distinct(), "refs")
+    named = stored(refs.withColumn("cls", managed_uri(F.col("ref"), namespaces)).filter("cls IS NOT NULL"), "named")
+    closure = stored(ancestors(named.select("cls"), taxonomy), "closure")
+    if max(named.count(), closure.count()) > most:
+        links = stored(edges(found, taxonomy, namespaces, key), "edges")
+        return stored(vertices(found, links, key), "vertices"), links
+    attributes = ["count", "offset", "nbTypes", "nbLinksIn", "nbLinksOut"]
+    rows = found.groupBy(key).agg(F.collect_list(F.struct("uri", *attributes, "types")).alias("resources"))
+    kinds = {x: found.schema[x].dataType.simpleString() for x in (key, *attributes)}
+    node = ", ".join(f"{x}: {kinds[x]}" for x in attributes)
+    builder = _Builder({r["ref"]: r["cls"] for r in named.collect()}, closure.select("cls", "child", "parent").toArrow(), key, attributes)
+    sent = found.sparkSession.sparkContext.broadcast(builder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                yield sent.value.graphs(batch.slice(lo, 1000))
+
+    schema = f"{key} {kinds[key]}, edges array<struct<src: string, dst: string>>, nodes array<struct<id: string, resource: boolean, {node}>>"
+    made = stored(rows.mapInArrow(run, schema), "graphs")
+    nodes, links = (made.select(key, F.inline(c)) for c in ("nodes", "edges"))
+    nodes.graphs = links.graphs = made
+    return nodes, links
+
+
+class _Builder:
+    """Makes the graphs of a batch from its documents' resources. ``named``: classes by reference; ``closure``: (cls, child, parent)."""
+
+    def __init__(self, named: dict[str, str], closure: pa.Table, key: str, attributes: list[str]):
+        self.key, self.attributes = key, attributes
+        names = sorted({ROOT, *named.values(), *(x for c in ("cls", "child", "parent") for x in closure[c].to_pylist())})
+        at = {x: i for i, x in enumerate(names)}
+        self.names = pa.array(names, pa.string())
+        self.cls = {ref: at[c] for ref, c in named.items()}
+        self.root = at[ROOT]
+        cls, child, parent = (np.array([at[x] for x in closure[c].to_pylist()], np.int64) for c in ("cls", "child", "parent"))
+        order = np.argsort(cls, kind="stable")
+        self.child, self.parent = child[order], parent[order]
+        self.first = np.searchsorted(cls[order], np.arange(len(names) + 1))
+
+    def graphs(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = batch.column(1).flatten()
+        row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
+        uri, types = own.field("uri"), own.field("types")
+        of = np.repeat(np.arange(len(own)), pc.fill_null(pc.list_value_length(types), 0).to_numpy())
+        refs = types.flatten().dictionary_encode()
+        known = np.array([self.cls.get(x, -1) for x in refs.dictionary.to_pylist()], np.int64)
+        cls = known[pc.fill_null(refs.indices, 0).to_numpy()] if len(known) else np.full(len(refs), -1)
+        cls[pc.is_null(refs).to_numpy(zero_copy_only=False)] = -1
+        of, cls = of[cls >= 0], cls[cls >= 0]
+        # All names of the batch: the classes' first, so that they keep their numbers.
+        coded = pa.concat_arrays([self.names, uri]).dictionary_encode(null_encoding="encode")
+        code = coded.indices.to_numpy()[len(self.names) :].astype(np.int64)
+        k = len(coded.dictionary)
+        untyped = np.setdiff1d(np.arange(len(own)), of)
+        a, b, at = code[np.append(of, untyped)], np.append(cls, np.full(len(untyped), self.root)), row[np.append(of, untyped)]
+        some = pc.is_valid(uri).to_numpy(zero_copy_only=False)[np.append(of, untyped)]
+        a, b, at = a[some], b[some], at[some]
+        # The edges above each document's classes.
+        classes = np.unique(row[of] * k + cls)
+        low, many = self.first[classes % k], np.diff(self.first)[classes % k]
+        above = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        a, b, at = np.append(a, self.child[above]), np.append(b, self.parent[above]), np.append(at, np.repeat(classes // k, many))
+        a, b, at = a[a != b], b[a != b], at[a != b]
+        # src is the lesser of both names, as Spark compares them.
+        rank = np.empty(k, np.int64)
+        rank[pc.sort_indices(coded.dictionary.cast(pa.binary())).to_numpy()] = np.arange(k)
+        turned = rank[a] > rank[b]
+        src, dst = np.where(turned, b, a), np.where(turned, a, b)
+        pairs, place = np.unique(src * k + dst, return_inverse=True)
+        once = np.unique(at * max(len(pairs), 1) + place)
+        at, src, dst = once // max(len(pairs), 1), pairs[once % max(len(pairs), 1)] // k, pairs[once % max(len(pairs), 1)] % k
+        edges = _lists(at, batch.num_rows, [coded.dictionary.take(pa.array(src)), coded.dictionary.take(pa.array(dst))], ["src", "dst"])
+        # Nodes: the resources, then the ends that are none.
+        ends = np.setdiff1d(np.concatenate([at * k + src, at * k + dst]), row * k + code)
+        at, ids = np.append(row, ends // k), np.append(code, ends % k)
+        order = np.argsort(at, kind="stable")
+        from_own = pa.array(np.where(order < len(own), order, 0), mask=order >= len(own))
+        columns = [coded.dictionary.take(pa.array(ids[order])), pa.array(order < len(own)), *[own.field(x).take(from_own) for x in self.attributes]]
+        return pa.RecordBatch.from_arrays([batch.column(0), edges, _lists(at[order], batch.num_rows, columns, ["id", "resource", *self.attributes])], names=[self.key, "edges", "nodes"])
+
+
+def _lists(at: np.ndarray, rows: int, columns: list[pa.Array], names: list[str]) -> pa.ListArray:
+    """Lists of structs of the columns, each value in the list of its row ``at``, which ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(rows + 1)), pa.int32()), pa.StructArray.from_arrays(columns, names=names))
+
+
 def in_one_namespace(found: DataFrame, triples: DataFrame, namespace_key: str, namespaces: Namespaces = NAMESPACES, key: str = "filename") -> DataFrame:
     """The edges with types and parents of one namespace only. An unknown key is an error."""
     from plainweave.operators.ontology import subclass
@@ -208,7 +301,10 @@ def _kind(rows: DataFrame, key: str) -> str:
 
 
 def _by_graph(nodes: DataFrame | None, links: DataFrame, key: str) -> DataFrame:
-    """(key, edges, nodes): a row per graph; without ``nodes`` those of the edges only."""
+    """(key, edges, nodes): a row per graph; without ``nodes`` those of the edges only. Tables of ``built`` have these rows already."""
+    made = getattr(links, "graphs", None)
+    if made is not None and (nodes is None or getattr(nodes, "graphs", None) is made):
+        return made.filter(F.size("edges") > 0).select(key, "edges") if nodes is None else made.select(key, "edges", F.transform("nodes", lambda x: F.struct(x["id"].alias("id"), x["resource"].alias("resource"), x["offset"].alias("offset"))).alias("nodes"))
     paired = links.groupBy(key).agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
     if nodes is None:
         return paired

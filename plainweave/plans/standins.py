@@ -6,12 +6,12 @@ They are deterministic, and ``plainweave.plans.oracle`` has the same in SQL.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +21,9 @@ from plainweave.operators.lexical import by_document
 
 #: A word is in the gazetteer by a rule on itself: of LETTERS letters or more, and of its hash's first byte below SHARE.
 LETTERS, SHARE = 8, 24
-#: What can be such a word with all else that stands between spaces, and how many of them a task remembers.
-LONG, MOST_KNOWN = re.compile("[^ ]{%d,}" % LETTERS), 200_000
+#: Texts of 2^CHUNK_BITS bytes, or a longer one, are taken at once. Which bytes are letters, and all bytes in lower case.
+CHUNK_BITS = 23
+LETTER, LOW = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)]), np.frombuffer(bytes(range(256)).lower(), np.uint8)
 SIZES = {1: 4, 2: 12, 3: 40}
 
 #: One tree for each pattern and one for each of its negations. Fixed values.
@@ -69,44 +70,46 @@ def uri(w: Column) -> Column:
     return F.concat(F.lit("http://dbpedia.org/resource/"), w)
 
 
-def _listed(token: str) -> tuple[str, int] | None:
-    """The token's word and number if the word is in the gazetteer."""
-    w = re.sub("[^A-Za-z]", "", token).lower()
-    if len(w) < LETTERS:
-        return None
-    h = hashlib.md5(w.encode(), usedforsecurity=False).digest()
-    return (w, h[1] * 256 + h[2]) if h[0] < SHARE else None
+def _number(word: bytes) -> int:
+    """The number of a word of letters in lower case if it is in the gazetteer, else -1."""
+    h = hashlib.md5(word, usedforsecurity=False).digest()
+    return h[1] * 256 + h[2] if h[0] < SHARE else -1
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ord, offset, uri, types, rk): the words of all texts that are in the gazetteer. One in four has types from the annotator, managed ones and others.
 
-    The words are picked within the text's own row, in one pass; what a word's hash says is kept from one text to the next.
+    The words are picked within the text's own row: texts of some MB together are split and their long tokens stripped to the letters at once, and only distinct words are hashed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, int] | None] = {}
         for batch in batches:
-            at, places, offsets, names, ranks = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                place = seen = 0
-                for m in LONG.finditer(text):
-                    token = m.group()
-                    if token not in known:
-                        if len(known) >= MOST_KNOWN:
-                            known.clear()
-                        known[token] = _listed(token)
-                    if hit := known[token]:
-                        place += text.count(" ", seen, m.start())
-                        seen = m.start()
-                        at.append(row)
-                        places.append(place)
-                        offsets.append(seen)
-                        names.append(hit[0])
-                        ranks.append(hit[1])
-            long = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(long(at)), long(places), long(offsets), pa.array(names, pa.string()), long(ranks)], names=["doc_id", "ord", "offset", "w", "rk"])
+            places = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()) >> CHUNK_BITS
+            for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(places)) + 1) if batch.num_rows else []:
+                part = batch.slice(rows[0], len(rows))
+                split = pc.split_pattern(pc.fill_null(part.column(1).cast(pa.large_string()), ""), " ")
+                tokens, first = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+                cut = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
+                data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[cut[0] : cut[-1]]
+                cut = cut - cut[0]
+                letter = LETTER[data]
+                other = np.flatnonzero(~letter)
+                at = np.flatnonzero(np.diff(cut) >= LETTERS)
+                letters = cut[at + 1] - cut[at] - (np.searchsorted(other, cut[at + 1]) - np.searchsorted(other, cut[at]))
+                at, letters = at[letters >= LETTERS], letters[letters >= LETTERS]
+                long = np.zeros(len(tokens), bool)
+                long[at] = True
+                own = LOW[data[letter & np.repeat(long, np.diff(cut))]]
+                places = np.concatenate([[0], np.cumsum(letters)]).astype(np.int64)
+                coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(own)]).dictionary_encode()
+                ranks = np.array([_number(w) for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+                listed = ranks >= 0
+                at, names = at[listed], coded.filter(pa.array(listed)).dictionary_decode().cast(pa.string())
+                row = np.searchsorted(first, at, "right") - 1
+                # Offsets are code points, with the spaces that the tokens are without.
+                inner = np.flatnonzero((data & 0xC0) == 0x80)
+                before = lambda k: cut[k] + k - np.searchsorted(inner, cut[k])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at - first[row]), pa.array(before(at) - before(first[row])), names, pa.array(ranks[listed])], names=["doc_id", "ord", "offset", "w", "rk"])
 
     docs = documents(spark, sf_dir)
     rows = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ord long, offset long, w string, rk long")

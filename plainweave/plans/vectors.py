@@ -26,8 +26,7 @@ def lengths_of(concepts: DataFrame, key: str = "filename") -> DataFrame:
 def concept_graphs(concepts: DataFrame, info: DataFrame | None, taxonomy: DataFrame, namespaces: Namespaces = NAMESPACES, key: str = "filename") -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of all documents' graphs."""
     found = stored(graphs.resources(mentions.mention_counts(mentions.explode_concepts(concepts, key), key), info, key), "resources")
-    links = stored(graphs.edges(found, taxonomy, namespaces, key), "edges")
-    return stored(graphs.vertices(found, links, key), "vertices"), links
+    return graphs.built(found, taxonomy, namespaces, key)
 
 
 @dataclass

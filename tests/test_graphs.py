@@ -203,3 +203,63 @@ def test_link_counts_pass_over_other_ends(spark):
     for uris in (few, many):
         out = {r["uri"]: tuple(r)[1:] for r in kb.concept_info(uris, triples).collect()}
         assert {k: out[k] for k in want} == want
+
+
+def _some_resources(spark):
+    cls = lambda k: f"{D}C{k}"
+    tax = spark.createDataFrame([(cls(1), cls(2)), (cls(1), f"{S}é"), (cls(2), cls(3)), (cls(3), cls(2)), (cls(4), cls(4)), (f"{S}é", "http://other/X")], "cls string, parent string")
+    rng = random.Random(3)
+    refs = [cls(1), cls(2), cls(4), "DBPedia:C1", "Schema:é", "Schema:alone", "Unknown:Thing", None]
+    made = []
+    for doc in [*range(40), None]:
+        for uri in rng.sample([*[f"u{i}" for i in range(9)], "ü", "\U0001f600", "￮", cls(1), cls(3), ROOT, None], rng.randint(1, 9)):
+            made.append((doc, uri, rng.randint(1, 5), rng.choice([None, 7]), rng.choice([None, [], rng.sample(refs, 3), [cls(2), cls(2)]]), rng.choice([None, 2]), 0, 1 << 40))
+    found = spark.createDataFrame(made, "doc_id long, uri string, count long, offset int, types array<string>, nbTypes long, nbLinksIn long, nbLinksOut long")
+    return found, tax
+
+
+def test_graphs_built_in_one_task_are_those_of_the_joins(spark):
+    found, tax = _some_resources(spark)
+    for namespaces in (graphs.NAMESPACES, ()):
+        links = graphs.edges(found, tax, namespaces, "doc_id")
+        nodes = graphs.vertices(found, links, "doc_id")
+        for most in (1 << 18, 0):
+            v, e = graphs.built(found, tax, namespaces, "doc_id", most)
+            assert (v.dtypes, e.dtypes) == (nodes.dtypes, links.dtypes)
+            assert Counter(map(tuple, e.collect())) == Counter(map(tuple, links.collect()))
+            assert Counter(map(tuple, v.collect())) == Counter(map(tuple, nodes.collect()))
+        found_named = found.filter("uri IS NOT NULL AND doc_id IS NOT NULL")
+        links = graphs.edges(found_named, tax, namespaces, "doc_id")
+        nodes = graphs.vertices(found_named, links, "doc_id")
+        v, e = graphs.built(found_named, tax, namespaces, "doc_id")
+        for f in (lambda n, m: graphs.counts(n, m, namespaces, "doc_id"), lambda n, m: graphs.assortativity(m, "doc_id"), lambda n, m: graphs.path_features(n, m, None, "doc_id")):
+            assert Counter(map(str, f(v, e).collect())) == Counter(map(str, f(nodes, links).collect()))
+
+
+def test_built_graphs_are_measured_without_a_shuffle_of_nodes_or_edges(spark):
+    found, tax = _some_resources(spark)
+    v, e = graphs.built(found, tax, key="doc_id")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(graphs.assortativity(e, "doc_id")) and "Exchange" not in plan(v) + plan(e)
+    assert "collect_list" not in plan(graphs.counts(v, e, key="doc_id"))
+
+
+def test_mentions_of_odd_texts(spark, tmp_path):
+    import hashlib
+    import re
+
+    from plainweave.plans import standins as st
+
+    texts = [None, "", " ", "  Éxtraordinarily  EXTRA-ordinarily é extraordinary\nabcdefghij abcdefghij ", "international 国際化国際化国際化 internationally!", *[f"é {w} wonderful{w}ness, word{w}wordword" for w in "abcdefghijklmnopqrstuvwxyz"]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for doc, text in enumerate(texts):
+        offset = 0
+        for place, token in enumerate((text or "").split(" ")):
+            word = re.sub("[^A-Za-z]", "", token).lower()
+            h = hashlib.md5(word.encode()).digest()
+            if len(word) >= st.LETTERS and h[0] < st.SHARE:
+                want.append((doc, place, offset, f"http://dbpedia.org/resource/{word}", h[1] * 256 + h[2]))
+            offset += len(token) + 1
+    st_rows = st.mentions(spark, str(tmp_path)).select("doc_id", "ord", "offset", "uri", "rk")
+    assert len(want) > 2 and rows(st_rows) == want
