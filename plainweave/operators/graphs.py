@@ -78,7 +78,7 @@ def vertices(found: DataFrame, links: DataFrame, key: str = "filename") -> DataF
 
 
 def built(found: DataFrame, taxonomy: DataFrame, namespaces: Namespaces = NAMESPACES, key: str = "filename", most: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) as ``vertices`` and ``edges`` make them, from one stored table with a row per graph, which both are read from.
+    """(vertices, edges) as ``vertices`` and ``edges`` make them, from one stored table with a row per graph, its edges and nodes sorted by name, which both are read from.
 
     Only the resources are shuffled, once, to their document's task. What the distinct types say, the class and the edges above it, goes to all tasks; if these edges
     are more than ``most``, the graphs are built by joins. What takes both tables later on (features, files) finds the rows of graphs by the tables' ``graphs`` and shuffles no node or edge.
@@ -152,14 +152,16 @@ class _Builder:
         rank[pc.sort_indices(coded.dictionary.cast(pa.binary())).to_numpy()] = np.arange(k)
         turned = rank[a] > rank[b]
         src, dst = np.where(turned, b, a), np.where(turned, a, b)
-        pairs, place = np.unique(src * k + dst, return_inverse=True)
+        back = np.argsort(rank)
+        pairs, place = np.unique(rank[src] * k + rank[dst], return_inverse=True)
         once = np.unique(at * max(len(pairs), 1) + place)
-        at, src, dst = once // max(len(pairs), 1), pairs[once % max(len(pairs), 1)] // k, pairs[once % max(len(pairs), 1)] % k
+        at, pairs = once // max(len(pairs), 1), pairs[once % max(len(pairs), 1)]
+        src, dst = back[pairs // k], back[pairs % k]
         edges = _lists(at, batch.num_rows, [coded.dictionary.take(pa.array(src)), coded.dictionary.take(pa.array(dst))], ["src", "dst"])
-        # Nodes: the resources, then the ends that are none.
+        # Nodes: the resources, and the ends that are none.
         ends = np.setdiff1d(np.concatenate([at * k + src, at * k + dst]), row * k + code)
         at, ids = np.append(row, ends // k), np.append(code, ends % k)
-        order = np.argsort(at, kind="stable")
+        order = np.lexsort((rank[ids], at))
         from_own = pa.array(np.where(order < len(own), order, 0), mask=order >= len(own))
         columns = [coded.dictionary.take(pa.array(ids[order])), pa.array(order < len(own)), *[own.field(x).take(from_own) for x in self.attributes]]
         return pa.RecordBatch.from_arrays([batch.column(0), edges, _lists(at[order], batch.num_rows, columns, ["id", "resource", *self.attributes])], names=[self.key, "edges", "nodes"])
@@ -300,10 +302,15 @@ def _kind(rows: DataFrame, key: str) -> str:
     return rows.schema[key].dataType.simpleString()
 
 
+def rows_of(nodes: DataFrame, links: DataFrame) -> DataFrame | None:
+    """The table of ``built`` that both are read from, if they are."""
+    made = getattr(links, "graphs", None)
+    return made if made is not None and getattr(nodes, "graphs", None) is made else None
+
+
 def _by_graph(nodes: DataFrame | None, links: DataFrame, key: str) -> DataFrame:
     """(key, edges, nodes): a row per graph; without ``nodes`` those of the edges only. Tables of ``built`` have these rows already."""
-    made = getattr(links, "graphs", None)
-    if made is not None and (nodes is None or getattr(nodes, "graphs", None) is made):
+    if (made := rows_of(links if nodes is None else nodes, links)) is not None:
         return made.filter(F.size("edges") > 0).select(key, "edges") if nodes is None else made.select(key, "edges", F.transform("nodes", lambda x: F.struct(x["id"].alias("id"), x["resource"].alias("resource"), x["offset"].alias("offset"))).alias("nodes"))
     paired = links.groupBy(key).agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
     if nodes is None:

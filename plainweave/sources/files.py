@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from plainweave.functions.text import key_of_path, output_name
+from plainweave.operators.graphs import rows_of
 from plainweave.operators.lexical import split_tags
 from plainweave.operators.mentions import RESOURCE
+from plainweave.tables import stored
 
 CONCEPTS = f"concepts array<{RESOURCE}>, nbWords int"
 INFO = "map<string,struct<concept_iri:string,types:array<string>,nb_links_in:string,nb_links_out:string>>"
@@ -142,28 +144,36 @@ def write_info(info: DataFrame, path: str) -> None:
 
 
 def graph_rows(nodes: DataFrame, links: DataFrame, lengths: DataFrame, key: str = "filename") -> DataFrame:
-    """SK4: one row per graph in node-link form."""
-    by_node = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "resource", "count", "offset", "nbTypes", "nbLinksIn", "nbLinksOut"))).alias("nodes"))
-    by_edge = links.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target")))).alias("links"))
-    out = lengths.select(key, F.struct(F.col("nbWord").cast("int").alias("nb_words")).alias("graph")).join(by_node, key, "left").join(by_edge, key, "left")
-    return out.select(key, F.lit(False).alias("directed"), F.lit(False).alias("multigraph"), "graph", F.coalesce("nodes", F.array().cast(by_node.schema["nodes"].dataType)).alias("nodes"), F.coalesce("links", F.array().cast(by_edge.schema["links"].dataType)).alias("links"))
+    """SK4: one row per graph in node-link form. Tables of ``graphs.built`` have these rows already, in order."""
+    if (made := rows_of(nodes, links)) is not None:
+        found = made.select(key, "nodes", F.transform("edges", lambda x: F.struct(x["src"].alias("source"), x["dst"].alias("target"))).alias("links"))
+    else:
+        by_node = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "resource", "count", "offset", "nbTypes", "nbLinksIn", "nbLinksOut"))).alias("nodes"))
+        by_edge = links.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target")))).alias("links"))
+        found = by_node.join(by_edge, key, "full")
+    out = lengths.select(key, F.struct(F.col("nbWord").cast("int").alias("nb_words")).alias("graph")).join(found, key, "left")
+    full = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    return out.select(key, F.lit(False).alias("directed"), F.lit(False).alias("multigraph"), "graph", full("nodes"), full("links"))
 
 
-def write_graphs(nodes: DataFrame, links: DataFrame, lengths: DataFrame, path: str, force: bool = False, each: bool = False) -> None:
-    """SK4: JSON lines, a graph each, with its filename; with ``each`` a file a graph."""
-    rows = graph_rows(nodes, links, lengths)
+def write_graphs(nodes: DataFrame, links: DataFrame, lengths: DataFrame, path: str, force: bool = False, each: bool = False, key: str = "filename") -> None:
+    """SK4: JSON lines, a graph each, with its filename, the text of ``key``; with ``each`` a file a graph."""
+    rows = graph_rows(nodes, links, lengths, key).withColumn(key, F.col(key).cast("string")).withColumnRenamed(key, "filename")
     _write(rows if force else skip_existing(rows, path), path, force, each)
 
 
 def read_graphs(spark: SparkSession, path: str, extension: str = ".json") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """SC8: (vertices, edges, lengths) from node-link JSON, a graph a file or a line."""
+    """SC8: (vertices, edges, lengths) from node-link JSON, a graph a file or a line. The files are parsed once; edges are told apart within their row, and by a shuffle only if names repeat."""
     rows = spark.read.schema(f"filename string, {GRAPH}").json(path, pathGlobFilter=f"part-*{extension}").filter("filename IS NOT NULL")
     whole = _whole(spark, path, extension, True)
     parsed = whole.select("filename", F.from_json("text", GRAPH).alias("x")).select("filename", "x.*")
-    both = rows.unionByName(parsed)
+    pair = lambda x: F.struct(F.least(x["source"], x["target"]).alias("src"), F.greatest(x["source"], x["target"]).alias("dst"))
+    both = stored(rows.unionByName(parsed).select("filename", "graph", "nodes", F.array_distinct(F.transform("links", pair)).alias("links")), "read")
     nodes = both.select("filename", F.explode("nodes").alias("n")).select("filename", "n.*")
     nodes = nodes.withColumns({"resource": F.coalesce("resource", F.lit(False)), "nbLinksIn": F.col("nbLinksIn").try_cast("bigint"), "nbLinksOut": F.col("nbLinksOut").try_cast("bigint")})
-    links = both.select("filename", F.explode("links").alias("l")).select("filename", F.least("l.source", "l.target").alias("src"), F.greatest("l.source", "l.target").alias("dst")).distinct()
+    links = both.select("filename", F.inline("links"))
+    if not both.groupBy("filename").count().filter("count > 1").isEmpty():
+        links = links.repartition("filename").distinct()
     return nodes, links, both.select("filename", F.col("graph.nb_words").cast("long").alias("nbWord"))
 
 

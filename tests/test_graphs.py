@@ -263,3 +263,26 @@ def test_mentions_of_odd_texts(spark, tmp_path):
             offset += len(token) + 1
     st_rows = st.mentions(spark, str(tmp_path)).select("doc_id", "ord", "offset", "uri", "rk")
     assert len(want) > 2 and rows(st_rows) == want
+
+
+def test_files_of_built_graphs(spark, tmp_path):
+    from plainweave.sources import files
+
+    found, tax = _some_resources(spark)
+    found = found.filter("uri IS NOT NULL AND doc_id IS NOT NULL")
+    lengths = spark.createDataFrame([(i, i * 10) for i in range(45)], "doc_id long, nbWord long")
+    v, e = graphs.built(found, tax, key="doc_id")
+    links = graphs.edges(found, tax, key="doc_id")
+    nodes = graphs.vertices(found, links, "doc_id")
+    made, want = files.graph_rows(v, e, lengths, "doc_id"), files.graph_rows(nodes, links, lengths, "doc_id")
+    assert made.dtypes == want.dtypes and sorted(made.collect()) == sorted(want.collect()) and want.count() == 45
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan(want) and "Aggregate" not in plan(made)
+    files.write_graphs(v, e, lengths, str(tmp_path), key="doc_id")
+    n, m, size = files.read_graphs(spark, str(tmp_path))
+    assert "Aggregate" not in plan(m) and Counter(map(tuple, m.collect())) == Counter((str(r[0]), *r[1:]) for r in e.collect())
+    assert n.count() == v.count() and size.count() == 45
+    # A graph written twice, and an edge both ways in it: each edge still comes once.
+    (tmp_path / "part-more.json").write_text('{"filename": "1", "graph": {}, "nodes": [], "links": [{"source": "a", "target": "b"}, {"source": "b", "target": "a"}]}\n' * 2)
+    again = [r for r in files.read_graphs(spark, str(tmp_path))[1].collect() if r["src"] == "a"]
+    assert [tuple(r) for r in again] == [("1", "a", "b")]
