@@ -92,3 +92,14 @@ def test_merged_treebank_patterns_equal_the_published_ones(spark):
     got = [r["t"] for r in spark.createDataFrame(list(enumerate(texts)), "k int, x string").repartition(1).orderBy("k").select(tokens(F.col("x")).alias("t")).collect()]
     for x, a in zip(texts, got, strict=True):
         assert a == plain(x), x
+
+
+def test_tokens_are_counted_without_being_made(spark):
+    from pyspark.sql import functions as F
+
+    from plainweave.functions import text as tx
+
+    texts = ["", " ", "a", " a\t\x0b\f\r\n b ", "   x\u0085y", 'He said, "I can\'t..." (gonna) \U0001f600\U0001f600 国際 é.', "x" * 5000 + " xx", "''s 'tis x's", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.count_words(F.col("t")).alias("n"), F.size(tx.tokens(F.col("t"))).alias("want"))
+    assert all(r["n"] == r["want"] for r in df.collect() if r["want"] is not None and r["want"] >= 0)
+    assert "split" not in df.select("n")._jdf.queryExecution().optimizedPlan().toString()
