@@ -20,6 +20,8 @@ _KIND = np.array([1 if regex.fullmatch(r"\p{L}", c) else 2 if regex.fullmatch(r"
 _KIND[_SEP] = 4
 SLOTS = 1 << 20
 MOST_PIECES = 1_500_000
+#: The library gets so many characters at a time, or one longer text: it returns some hundred bytes of objects a token.
+MOST_ASKED = 1 << 17
 
 
 class Bpe:
@@ -39,7 +41,14 @@ class Bpe:
         self.slot_key, self.slot_row = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[np.ndarray] = []
+        upto = np.cumsum([len(t) for t in texts])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + MOST_ASKED, "right")))
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
+            lo = hi
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""

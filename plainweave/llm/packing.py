@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainweave.llm.ragged import chunks, tidy
+from plainweave.llm.ragged import SMALL_CHUNK_BYTES, chunks, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -83,7 +83,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=schema)
 
         held, tokens = [], 0
-        for batch, _, _ in chunks(batches):
+        for batch, _, _ in chunks(batches, most=SMALL_CHUNK_BYTES):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), bpe.encode(texts), strict=True):
                 held.append((doc_id, np.append(ids, np.uint32(end_id))))

@@ -17,6 +17,8 @@ import xxhash
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 CHUNK_BYTES = 3 << 20
+#: For work whose arrays take some hundred times a chunk's bytes; it is not slower for it.
+SMALL_CHUNK_BYTES = 1 << 19
 _LONG = 512
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from plainweave.llm.cascade import drop_rows
 from plainweave.llm.common import ROW_KEY, joined_by_weight, row_key, stored
 from plainweave.llm.components import components
-from plainweave.llm.ragged import _SPACE, LOWER, chunks, padded, split_words, tidy, xxh64
+from plainweave.llm.ragged import _SPACE, LOWER, SMALL_CHUNK_BYTES, chunks, padded, split_words, tidy, xxh64
 
 RADIUS, TILE, ROWS_A_TASK = 3, 4096, 200_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, __pw_key, fp): fp as a signed BIGINT of the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches):
+        for batch, data, offsets in chunks(batches, most=SMALL_CHUNK_BYTES):
             fp = fingerprint_chunk(data, offsets, shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", ROW_KEY, "fp"])
         tidy()
