@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plainweave.functions.namespaces import NAMESPACES, ROOT, Namespaces, in_namespace, managed_uri
+from plainweave.operators.mentions import mention_counts
 from plainweave.operators.ontology import ancestors
 from plainweave.tables import stored
 
@@ -45,6 +46,26 @@ def resources(counts: DataFrame, info: DataFrame | None, key: str = "filename")
     return counts.join(known, "uri", "left").withColumn("types", both).drop("more").select(key, "uri", "count", "offset", "types", "nbTypes", "nbLinksIn", "nbLinksOut")
 
 
+def by_document(found: DataFrame, key: str = "filename") -> DataFrame:
+    """(key, resources): a document's resources in one row. Rows that lie by document already are not shuffled."""
+    return found.groupBy(key).agg(F.collect_list(F.struct("uri", "count", "offset", "nbTypes", "nbLinksIn", "nbLinksOut", "types")).alias("resources"))
+
+
+def stored_resources(mentions: DataFrame, info: DataFrame, key: str = "filename", most: int = 1 << 18) -> DataFrame:
+    """``resources`` of the mentions counted by document and URI, from one stored table with a row per document, its ``grouped``.
+
+    The mentions are shuffled once, to their document's task, and counted, joined and put together there: what is known of the URIs goes to all tasks if
+    they are ``most`` at most; of more, it is joined by a shuffle of the counts, and another one puts the documents together.
+    """
+    known = stored(info, "info")
+    counts = mention_counts(mentions.repartition(key), key)
+    found = resources(counts, F.broadcast(known) if known.count() <= most else known, key)
+    grouped = stored(by_document(found, key), "resources")
+    out = grouped.select(key, F.inline("resources"))
+    out.grouped = grouped
+    return out
+
+
 def resource_types(found: DataFrame, namespaces: Namespaces = NAMESPACES, key: str = "filename") -> DataFrame:
     """(key, uri, type): each resource's managed types, as URIs."""
     rows = found.select(key, "uri", F.explode("types").alias("ref"))
@@ -90,7 +111,9 @@ def built(found: DataFrame, taxonomy: DataFrame, namespaces: Namespaces = NAMESP
         links = stored(edges(found, taxonomy, namespaces, key), "edges")
         return stored(vertices(found, links, key), "vertices"), links
     attributes = ["count", "offset", "nbTypes", "nbLinksIn", "nbLinksOut"]
-    rows = found.groupBy(key).agg(F.collect_list(F.struct("uri", *attributes, "types")).alias("resources"))
+    rows = getattr(found, "grouped", None)
+    if rows is None:
+        rows = by_document(found, key)
     kinds = {x: found.schema[x].dataType.simpleString() for x in (key, *attributes)}
     node = ", ".join(f"{x}: {kinds[x]}" for x in attributes)
     builder = _Builder({r["ref"]: r["cls"] for r in named.collect()}, closure.select("cls", "child", "parent").toArrow(), key, attributes)
